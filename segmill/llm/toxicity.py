@@ -203,8 +203,8 @@ def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, s
     The rows are those of the least id hashes.  Executors list, for each
     beginning of 4 to 8 letters and each whole word, the toxic texts that hold
     it; copies of a text count once.  The driver picks stems greedily, the one
-    that explains most toxic texts yet unexplained first; texts with two words
-    of the base lexicon are explained beforehand.  Labels that are null, that
+    that is in most unexplained toxic texts first; two stems explain a text, and so do two words
+    of the base lexicon.  Labels that are null, that
     contradict one another or whose document is missing are left out.  Without
     labels the result is empty.
     """
@@ -239,16 +239,15 @@ def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, s
     found = at.groupBy("stem").agg(clean.alias("clean"), toxic.alias("toxic")).where(F.size("toxic") >= support).where(F.col("clean") <= clean_share * F.size("toxic")).collect()
     left = {r["stem"]: (set(r["toxic"]), r["clean"]) for r in found if not (r["stem"].rstrip("$") in BASE)}
     stems: list[str] = []
-    covered: Counter = Counter()
+    times: Counter = Counter()  # stems of each text so far; two explain it
     while left:
-        # a text is explained by two words; the same stem may give both
-        best = max(left, key=lambda s: (sum(c not in covered for c in left[s][0]), -left[s][1], -len(s), s))
-        new = [c for c in left[best][0] if c not in covered]
-        if len(new) < support:
+        best = max(left, key=lambda s: (sum(times[c] < 2 for c in left[s][0]), -left[s][1], -len(s), s))
+        if sum(times[c] < 2 for c in left[best][0]) < support:
             break
         stems.append(best)
-        covered.update(new)
-        del left[best]
+        times.update(left[best][0])
+        plain = best.rstrip("$")
+        left = {s: v for s, v in left.items() if not s.startswith(plain) and not plain.startswith(s.rstrip("$"))}
     return stems
 
 
