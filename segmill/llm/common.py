@@ -107,3 +107,23 @@ def least_rows(rows: DataFrame, key: str) -> DataFrame:
     as_text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
     w = Window.partitionBy(key).orderBy("__order")
     return rows.withColumn("__order", as_text).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__order", "__rank")
+
+
+def row_id(docs: DataFrame):
+    """The doc_id, or for a row without one a number below -1 made from its text.
+
+    Ids themselves are 0 or more.  Rows that share an id, or that lack one and
+    share a text, stand and fall together.
+    """
+    return F.coalesce(docs["doc_id"].cast("long"), -F.shiftrightunsigned(F.xxhash64(docs["text"].cast("string")), 2) - F.lit(2))
+
+
+def id_or_null(name: str):
+    return F.when(F.col(name) >= 0, F.col(name)).alias("doc_id")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose row_id isn't in the column __id of ids."""
+    names = [c for c in docs.columns]
+    keyed = docs.withColumn("__row", row_id(docs))
+    return keyed.join(ids.select("__id").distinct(), F.col("__row") == F.col("__id"), "left_anti").select(*[keyed[f"`{c}`"] for c in names])

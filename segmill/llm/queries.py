@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import mixing, secrets, toxicity
+from segmill.llm import decontaminate, mixing, secrets, toxicity
 from segmill.llm.common import Scratch, table
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -21,7 +25,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), scratch=Scratch(spark)).select("doc_id", "source", F.col("mix_tier").cast("long").alias("mix_tier"))
 
 
-QUERIES = {f.__name__: f for f in (op8_secret_scan, op9_toxicity, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op7_decontamination, op8_secret_scan, op9_toxicity, op10_source_mixing)}
 
 
 def _secret_sql() -> str:
