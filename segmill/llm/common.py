@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,16 +46,24 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/segmill-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.count = 0
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.paths[name] = f"{self.base}/{name}-{len(self.paths)}"
+        self.count += 1
+        path = self.paths[name] = f"{self.base}/{name}-{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Has Spark's cleaner drop the shuffle files of what is already written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
-            self._delete(self.paths[name])
+            self._delete(self.paths.pop(name))
 
     def close(self) -> None:
         try:
@@ -102,8 +110,6 @@ def one_row_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def least_rows(rows: DataFrame, key: str) -> DataFrame:
-    from pyspark.sql import Window
-
     as_text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
     w = Window.partitionBy(key).orderBy("__order")
     return rows.withColumn("__order", as_text).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__order", "__rank")
@@ -124,6 +130,36 @@ def id_or_null(name: str):
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose row_id isn't in the column __id of ids."""
-    names = [c for c in docs.columns]
-    keyed = docs.withColumn("__row", row_id(docs))
-    return keyed.join(ids.select("__id").distinct(), F.col("__row") == F.col("__id"), "left_anti").select(*[keyed[f"`{c}`"] for c in names])
+    out = ids.select(F.col("__id").alias("__segmill_out")).distinct()
+    return docs.join(out, row_id(docs) == F.col("__segmill_out"), "left_anti")
+
+
+#: A table of ids is broadcast up to so many rows, which are counted; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs whose __id is in ids, a written table."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__id", how)
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes of edges (a, b); root is the least node of the component.
+
+    Large-star and small-star rounds: each links neighbours to the least one
+    around, until nothing changes; the rounds grow with the logarithm of the
+    nodes.  Every round is written.
+    """
+    edges = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
+        large = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = F.min("v").over(Window.partitionBy("u"))
+        small = large.select("u", "v", low.alias("m")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = scratch.write(small, "links")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        seen = state
