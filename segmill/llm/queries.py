@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import decontaminate, minhash, mixing, secrets, toxicity
+from segmill.llm import counts, decontaminate, minhash, mixing, secrets, store, toxicity
 from segmill.llm.common import Scratch, table
 
 
@@ -13,6 +13,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.store(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.table(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,7 +37,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), scratch=Scratch(spark)).select("doc_id", "source", F.col("mix_tier").cast("long").alias("mix_tier"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op7_decontamination, op8_secret_scan, op9_toxicity, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_store, op3_token_counts, op7_decontamination, op8_secret_scan, op9_toxicity, op10_source_mixing)}
 
 
 def _secret_sql() -> str:
