@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmill.llm import mixing, toxicity
+from segmill.llm import decontaminate, minhash, mixing, store, toxicity
 from segmill.llm.common import Scratch, table
 
 
@@ -13,12 +13,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, toxicity.stems_of(spark, sf_dir))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and all others."""
+    return minhash.keep(docs, scratch=Scratch(spark))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no phrase of the benchmark."""
+    return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"), scratch=Scratch(spark))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The largest mix of the target weights."""
     return mixing.mix(docs, scratch=Scratch(spark)).select(*docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic), ("mix_sources", mix_sources)]
+def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chunks, recipes and manifest of the documents' token ids."""
+    return store.store(docs, scratch=Scratch(spark))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("source_mixing", mix_sources),
+    ("token_store", store_tokens),
+]
 
 #: Stages score texts with automata and tokenizers, which SQL can't express.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import counts, decontaminate, embeddings, lines, minhash, mixing, secrets, store, toxicity
+from segmill.llm import counts, decontaminate, embeddings, lines, minhash, mixing, secrets, store, substrings, toxicity
 from segmill.llm.common import Scratch, table
 
 
@@ -21,6 +21,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.table(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.pairs(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +49,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), scratch=Scratch(spark)).select("doc_id", "source", F.col("mix_tier").cast("long").alias("mix_tier"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_store, op3_token_counts, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_secret_scan, op9_toxicity, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_store, op3_token_counts, op4_substring_dedup, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_secret_scan, op9_toxicity, op10_source_mixing)}
 
 
 def _secret_sql() -> str:
