@@ -134,13 +134,19 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(out, row_id(docs) == F.col("__segmill_out"), "left_anti")
 
 
-#: A table of ids is broadcast up to so many rows, which are counted; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Bytes of a written table up to which it is broadcast; they are summed first.  Beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def lookup(docs: DataFrame, small: DataFrame, how: str, size=None) -> DataFrame:
+    """Joins a written table by __id; size: bytes of a row besides its id."""
+    total = small.agg(F.sum(F.lit(16) + (size if size is not None else F.lit(0)))).first()[0] or 0
+    return docs.join(F.broadcast(small) if total <= BROADCAST_BYTES else small, "__id", how)
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of docs whose __id is in ids, a written table."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__id", how)
+    return lookup(docs, ids, how)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmill.llm.common import Scratch, id_or_null, row_id
+from segmill.llm.common import Scratch, id_or_null, lookup, row_id
 
 #: Letters and signs of a line, blanks at its ends aside, from which on it is compared.
 LEAST_CHARS = 1
@@ -142,5 +142,5 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     own = docs.select(row_id(docs).alias("__id"), docs["text"].cast("string").alias("text"))
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains("out", s["i"])), lambda s: s["x"]), "\n")
-    joined = own.join(out, "__id", "left")
+    joined = lookup(own, out, "left", F.size("out") * 8 + 24)
     return joined.select(id_or_null("__id"), F.when(F.col("out").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_deleted"))
