@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.llm import textscan
-from segmill.llm.common import Scratch, id_or_null, mapped, row_id
+from segmill.llm.common import Scratch, id_or_null, lookup, mapped, row_id
 
 #: Words of the shortest passage that counts.
 MIN_WORDS = 50
@@ -38,8 +38,6 @@ RUN = 8
 SHORTEST = 4
 #: Words at an end of a passage that its symbols may not reach, and most words between two symbols of a stretch.
 MARGIN, GAP = 20, 12
-#: Rows of a table of stretches up to which it is broadcast; beyond, texts are shuffled to it.
-BROADCAST_ROWS = 200_000
 
 
 def parse(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +124,7 @@ def windows(docs: DataFrame, where: DataFrame, n: int) -> DataFrame:
         doc = np.searchsorted(w.offsets, at, side="right") - 1
         return pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(at - w.offsets[doc])], ["h", "__id", "pos"])
 
-    joined = docs.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "__id")
+    joined = lookup(docs, where, "inner", F.size("starts") * 16 + 48)
     return mapped(joined.select("__id", "text", "starts", "stops"), "h long, __id long, pos long", piece)
 
 
@@ -136,7 +134,8 @@ def _repeats(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     per = Window.partitionBy("h")
     place = F.struct("__id", "pos")
     found = windows(own, where, n).withColumn("first", F.min(place).over(per)).withColumn("last", F.max(place).over(per)).where("first < last")
-    found = found.select("__id", "pos", F.col("first.__id").alias("first_id"), (F.col("first.pos") - F.col("pos")).alias("shift")).distinct()
+    found = found.select("__id", "pos", F.col("first.__id").alias("first_id"), (F.col("first.pos") - F.col("pos")).alias("shift"))
+    found = found.repartition("__id").distinct()  # one exchange serves what follows, too
     by = Window.partitionBy("__id", "first_id", "shift").orderBy("pos")
     runs = found.withColumn("run", F.col("pos") - F.row_number().over(by)).groupBy("__id", "first_id", "shift", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + n).alias("n_words"))
     return runs.select("__id", "start", "n_words", "first_id", (F.col("start") + F.col("shift")).alias("first_start"))
@@ -169,7 +168,8 @@ def dedup(docs: DataFrame, n: int = MIN_WORDS, scratch: Scratch | None = None) -
     scratch = scratch or Scratch(docs.sparkSession)
     spans = _repeats(docs, n, scratch).where((F.col("__id") != F.col("first_id")) | (F.col("start") != F.col("first_start")))
     out = scratch.write(spans.groupBy("__id").agg(F.collect_list(F.struct("start", "n_words")).alias("s")).select("__id", F.transform("s", lambda x: x["start"]).alias("starts"), F.transform("s", lambda x: x["n_words"]).alias("sizes")), "spans")
-    own = docs.select(row_id(docs).alias("__id"), docs["text"].cast("string").alias("text")).join(out, "__id", "left").select("__id", "text", "starts", "sizes")
+    own = docs.select(row_id(docs).alias("__id"), docs["text"].cast("string").alias("text"))
+    own = lookup(own, out, "left", F.size("starts") * 16 + 48).select("__id", "text", "starts", "sizes")
 
     def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, gone = batch.column(1).to_pylist(), [0] * batch.num_rows
