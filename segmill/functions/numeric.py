@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Widths in bits that packed values may have.
 WIDTHS = (1, 2, 4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 56, 64)
@@ -15,7 +16,7 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _bits(values):
     numbers = np.ascontiguousarray(values.to_numpy(np.float64, na_value=np.nan))
     out = pd.Series(numbers.view(np.int64), dtype="Int64")
@@ -23,7 +24,7 @@ def _bits(values):
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _double(values):
     out = pd.Series(np.ascontiguousarray(values.fillna(0).to_numpy(np.int64)).view(np.float64))
     out[values.isna().to_numpy()] = np.nan

@@ -79,7 +79,7 @@ def encodings(stats: DataFrame) -> DataFrame:
     A table wins where the places in it take fewer bits than the quotients of
     the differences.  The base of a delta is 0 where that costs no bit.
     """
-    span = (F.col("max") - F.col("min")).cast("long")
+    span = F.coalesce(F.try_subtract("max", "min"), F.lit(-1).cast("long"))  # beyond 63 bits: negative, as an unsigned number would be
     step = F.greatest(F.col("gcd"), F.lit(1))
     delta = bits_required(F.call_function("div", span, step))
     places = bits_required(F.size("uniques").cast("long") - 1)

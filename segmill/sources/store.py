@@ -159,7 +159,7 @@ class Store:
         placed = placed.withColumn("_seg", seg).withColumn("_doc", doc).drop("__row")
         name = uuid.uuid4().hex
         placed.repartition("_seg").sortWithinPartitions("_seg", "_doc").write.partitionBy("_seg").parquet(f"{self.path}/data/{name}")
-        written = self.spark.read.parquet(f"{self.path}/data/{name}").groupBy("_seg").agg(F.count("*").alias("n"), F.max("_doc").alias("last")).orderBy("_seg").collect()  # a row for each segment
+        written = self.spark.read.schema(placed.schema).parquet(f"{self.path}/data/{name}").groupBy("_seg").agg(F.count("*").alias("n"), F.max("_doc").alias("last")).orderBy("_seg").collect()  # a row for each segment
         if not written:
             raise SegmentError("no rows to write")
         if any(r["n"] != r["last"] + 1 for r in written) or [r["_seg"] for r in written] != list(range(first, first + len(written))):
