@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from segmill.errors import SegmentError
 from segmill.functions.text import norm_length, tokens
+from segmill.operators.postings import by_document
 
 K1, B = 1.2, 0.75
 #: Terms of all queries together up to which they are sent to every task.
@@ -49,7 +50,7 @@ def scores(docs: DataFrame, queries: dict[str, Sequence[str]], key: str = "doc_i
         raise SegmentError("too many query terms for one pass over texts; build an index and use scores_of_index()")
     spark = docs.sparkSession
     own = F.array(*map(F.lit, wanted)).cast("array<string>")
-    found = docs.select(F.col(key).alias("doc_id"), tokens(text).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.filter("t", lambda t: F.array_contains(own, t)).alias("hits"))
+    found = by_document(docs, [key], text).select(F.col(key).alias("doc_id"), tokens(text).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.filter("t", lambda t: F.array_contains(own, t)).alias("hits"))
     found = found.select("doc_id", F.greatest("n", F.lit(0)).alias("n"), F.coalesce("hits", F.array().cast("array<string>")).alias("hits")).persist()
     stats = found.agg(F.count("*").cast("double").alias("nd"), (F.sum("n").cast("double") / F.count("*")).alias("mean"))
     tf = found.where(F.size("hits") > 0).select("doc_id", norm_length("n").cast("double").alias("dl"), F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("freq"))

@@ -11,6 +11,17 @@ from segmill.functions.text import norm_byte, token_count, tokens
 BLOCK = 128
 
 
+def by_document(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Texts hashed by their keys, to as many partitions as a shuffle has.
+
+    What follows is counted where the document is: texts are smaller than their
+    postings, so they are moved and the postings aren't, and a file that one
+    task would read is spread over all.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(*keys, text).repartition(n, *keys)
+
+
 def token_stream(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, term): tokens in order."""
     return docs.select(F.col(key).alias("doc"), F.posexplode(tokens(text)).alias("pos", "term"))
@@ -19,18 +30,16 @@ def token_stream(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def postings(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key..., term, freq): how often each term stands in each document.
 
-    Terms are counted within a document by the tasks that read it; with one row
-    a document that is all the counting there is, and rows that share a key are
-    added up in the shuffle that follows.
+    Rows that share a key are one document.
     """
     keys = [key] if isinstance(key, str) else key
-    terms = docs.select(*keys, F.explode(tokens(text)).alias("term"))
+    terms = by_document(docs, keys, text).select(*keys, F.explode(tokens(text)).alias("term"))
     return terms.groupBy(*keys, "term").agg(F.count("*").alias("freq"))
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, length, norm): tokens of each document, and the byte that keeps it."""
-    counted = docs.select(F.col(key), token_count(text).alias("length"))
+    counted = by_document(docs, [key], text).select(F.col(key), token_count(text).alias("length"))
     return counted.withColumn("norm", norm_byte("length"))
 
 

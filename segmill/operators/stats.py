@@ -59,18 +59,27 @@ def numeric_stats(frame: DataFrame, columns: list[str], by: list[str] | None = N
             kinds = [*(schema.field(b).type for b in by), pa.string(), *longs, pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*by, "field", "n", "low", "high", "divisor", "first", "wide", "uniques"])
 
-    def final(part: pd.DataFrame) -> pd.DataFrame:
-        first, wide = int(part["first"].iloc[0]), bool(part["wide"].any())
-        step, uniques = 0, set()
-        for d, f, u in zip(part["divisor"], part["first"], part["uniques"]):
-            step = gcd(step, int(d), abs(int(f) - first))
-            uniques = None if uniques is None or u is None else uniques | set(map(int, u))
-        uniques = sorted(uniques) if uniques is not None and len(uniques) <= TABLE_VALUES else None
-        row = [*(part[b].iloc[0] for b in by), part["field"].iloc[0], int(part["n"].sum()), int(part["low"].min()), int(part["high"].max()), 1 if wide else step, uniques]
-        return pd.DataFrame([row], columns=[*by, "field", "num_values", "min", "max", "gcd", "uniques"])
+    def final(batches):
+        state: dict = {}
+        for batch in batches:
+            schema = batch.schema
+            for r in batch.to_pylist():
+                key = (*(r[b] for b in by), r["field"])
+                old = state.get(key)
+                if old is None:
+                    state[key] = [r["n"], r["low"], r["high"], r["divisor"], r["first"], r["wide"], None if r["uniques"] is None else set(r["uniques"])]
+                    continue
+                old[0] += r["n"]
+                old[1], old[2], old[5] = min(old[1], r["low"]), max(old[2], r["high"]), old[5] or r["wide"]
+                old[3] = gcd(old[3], r["divisor"], abs(r["first"] - old[4]))
+                old[6] = None if old[6] is None or r["uniques"] is None or len(both := old[6] | set(r["uniques"])) > TABLE_VALUES else both
+        if state:
+            rows = [(*key, n, low, high, 1 if wide else step, None if u is None else sorted(u)) for key, (n, low, high, step, _, wide, u) in state.items()]
+            kinds = [*(schema.field(b).type for b in by), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*by, "field", "num_values", "min", "max", "gcd", "uniques"])
 
     own = frame.select(*by, *columns)
-    return own.mapInArrow(partial, keys + _PART).groupBy(*by, "field").applyInPandas(final, keys + "field string, num_values long, min long, max long, gcd long, uniques array<long>")
+    return own.mapInArrow(partial, keys + _PART).repartition(*by, "field").mapInArrow(final, keys + "field string, num_values long, min long, max long, gcd long, uniques array<long>")
 
 
 def encodings(stats: DataFrame) -> DataFrame:

@@ -347,7 +347,7 @@ def tokens(t, spark):
 
 @query(f"SELECT doc_id, len({_TOKENS})::BIGINT AS n FROM documents")
 def token_counts(t, spark):
-    return t("documents").select("doc_id", text.token_count("text").alias("n"))
+    return postings.lengths(t("documents")).select("doc_id", F.col("length").alias("n"))
 
 
 _NORM = "CASE WHEN n < 24 THEN n WHEN n < 32 THEN n ELSE 24 + ((((n - 24) >> (length(bin(n - 24)) - 4)) & 7) | ((length(bin(n - 24)) - 3) << 3)) END"
