@@ -190,6 +190,30 @@ def small_world(graph: DataFrame, n: int, cap: int) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= cap).select("node", "pos", "neighbor")
 
 
+def node_level(key, m: int, most: int = 8):
+    """The level up to which a node stands: geometric with ratio 1 / m, from a hash of its id."""
+    u = (F.conv(F.substring(F.md5(key.cast("string")), 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
+    return F.least(F.floor(-F.log(u) / F.log(F.lit(float(m)))), F.lit(most)).cast("long")
+
+
+def layered_graph(vectors: DataFrame, m: int = 16, metric: str = "euclidean", key: str = "vec_id", column: str = "embedding", most: int = 8) -> DataFrame:
+    """(level, node, rank, neighbor, score): a hierarchy for search from above.
+
+    Level 0 has all nodes with their 2 m nearest; each level above has a share
+    1 / m of the one below, with the m nearest among themselves.
+    """
+    if m < 2:
+        raise SegmentError("m must be at least 2")
+    placed = vectors.where(F.col(column).isNotNull()).withColumn("__level", node_level(F.col(key), m, most))
+    top = placed.agg(F.max("__level")).first()[0]
+    out = None
+    for level in range((top if top is not None else 0) + 1):
+        own = knn_graph(placed.where(F.col("__level") >= level), 2 * m if level == 0 else m, metric, key, column)
+        own = own.select(F.lit(level).cast("long").alias("level"), "node", "rank", "neighbor", "score")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def approximate(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", tables: int = 8, bucket: float = 2.0, seed: int = 5) -> DataFrame:
     """(qid, rank, id, score): nearest by euclidean distance among the vectors that share a bucket with the query.
 

@@ -548,6 +548,19 @@ def graph_merge(t, spark):
     return _rounded(knn.knn_graph(scan.unite(even, odd), 4))
 
 
+_LEVEL = "least(floor(-ln((('0x' || substr(md5(vec_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656::DOUBLE) / ln(8::DOUBLE)), 8)::BIGINT"
+
+
+def _layer_sql(level: int, k: int) -> str:
+    inner = _knn_sql("euclidean", "true", k, True, ("node", "neighbor")).replace("embeddings", f"(SELECT * FROM embeddings WHERE {_LEVEL} >= {level})")
+    return f"SELECT {level}::BIGINT AS level, node, rank, neighbor, score FROM ({inner})"
+
+
+@query(" UNION ALL ".join(_layer_sql(i, 16 if i == 0 else 8) for i in range(9)))
+def layered_graph(t, spark):
+    return _rounded(knn.layered_graph(t("embeddings"), 8))
+
+
 @query()
 def recall_approximate(t, spark):
     asked = _asked(t, "vec_id % 10 = 3")
