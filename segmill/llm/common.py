@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -76,6 +77,26 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch that a task holds; Spark's own bound is eight times that.
+ARROW_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches have ARROW_BYTES at most (a row that is longer is a batch)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(key)).rstrip("b") or 0) <= ARROW_BYTES:
+        conf.set(key, f"{ARROW_BYTES}b")
+    return df
+
+
+def release() -> None:
+    """Gives what a task's arrays took back to the system; the worker lives on for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def mapped(df: DataFrame, schema: str, piece: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], text: str = "text", limit: int | None = None) -> DataFrame:
     """mapInArrow over pieces of bounded text size; a text longer than the bound is a piece by itself."""
     from segmill.llm import textscan
@@ -91,8 +112,9 @@ def mapped(df: DataFrame, schema: str, piece: Callable[[pa.RecordBatch], pa.Reco
                 out = piece(batch.slice(i, j - i))
                 if out is not None:
                     yield from out if isinstance(out, list) else [out]
+        release()
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:

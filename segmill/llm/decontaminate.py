@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm import textscan
-from segmill.llm.common import Scratch, id_or_null, list_array, mapped, row_id, without
+from segmill.llm.common import Scratch, id_or_null, list_array, mapped, release, row_id, without
 
 #: Words in a row that make a phrase match; an item that is shorter must match whole.
 N_WORDS = 13
@@ -173,6 +173,7 @@ def search(segments: DataFrame, queries: list[Query]) -> DataFrame:
                 rows = [(int(ids[d]), q.item, *rest) for q in queries for d, *rest in _search(q, lists, words, starts)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["__id", "item_id", "kind", "item_start", "doc_start", "n_words"])
+        release()
 
     return segments.select("ids", "starts", "terms", "ends", "positions").mapInArrow(run, MATCH)
 

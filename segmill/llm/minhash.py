@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmill.llm import textscan
-from segmill.llm.common import Scratch, components, id_or_null, list_array, mapped, of_ids, row_id, without
+from segmill.llm.common import Scratch, components, id_or_null, list_array, mapped, of_ids, release, row_id, without
 
 #: Words of a shingle; a shorter text is one shingle.
 SHINGLE = 3
@@ -110,6 +110,7 @@ def verified(pairs: DataFrame, docs: DataFrame, contents: DataFrame, scratch: Sc
                         keep.append(x)
                 rows = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], ["a", "b"])
+        release()
 
     return scratch.write(joined.mapInArrow(run, "a long, b long"), "edges")
 

@@ -93,7 +93,7 @@ def decode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     width += cp >= 0x80
     width += cp >= 0x800
     width += cp >= 0x10000
-    at = np.zeros(len(cp) + 1, np.int64)
+    at = np.zeros(len(cp) + 1, np.int32)  # an Arrow string array has less than 2 GB
     np.cumsum(width, out=at[1:])
     return cp, width, np.searchsorted(at, offsets)
 
@@ -135,7 +135,7 @@ def words(arr: pa.Array) -> Words:
     shut[edge] = inside[edge]
     ends = np.flatnonzero(shut) + 1
     kept = data[np.repeat(inside, width)]
-    span = np.zeros(len(cp) + 1, np.int64)
+    span = np.zeros(len(cp) + 1, np.int32)
     np.cumsum(np.where(inside, width, 0), out=span[1:])
     bounds = np.append(span[starts], len(kept))
     per = np.searchsorted(starts, docs)

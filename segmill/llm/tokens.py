@@ -19,7 +19,7 @@ from segmill.llm.textscan import LETTER, SPACE
 #: A file of lines "base64 rank".
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text that are cut at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -86,9 +86,9 @@ def cut(texts: pa.Array) -> Pieces:
             after = after[after < size]
             cuts[after[kind[after] == LETTER]] = True
     start = np.flatnonzero(cuts)
-    at = np.zeros(size + 1, np.int64)
+    at = np.zeros(size + 1, np.int32)
     np.cumsum(width, out=at[1:])
-    bounds = np.append(at[start], len(data)).astype(np.int32)
+    bounds = np.append(at[start], np.int32(len(data)))
     strings = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
     return Pieces(strings.dictionary_encode(), np.searchsorted(start, docs), start, (kind[start] == SPACE) & (kind[np.append(start[1:], size) - 1] == SPACE), docs, cp, width)
 

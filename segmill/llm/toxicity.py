@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import textscan
-from segmill.llm.common import has_table, mapped, table
+from segmill.llm.common import bounded, has_table, mapped, release, table
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, TEXT_END = range(9)
 
@@ -184,17 +184,15 @@ def keep(docs: DataFrame, stems=(), threshold: float = THRESHOLD) -> DataFrame:
     """The rows that aren't toxic, unchanged, with all their columns.  Cases as in score()."""
     lexicon = Lexicon(stems)
 
-    @F.pandas_udf("boolean")
+    @F.arrow_udf("boolean")
     def fine(text):
-        import pandas as pd
-
-        arr, kept = pa.array(text, pa.string(), from_pandas=True), []
-        _, offsets = textscan.raw(arr)
+        kept, (_, offsets) = [np.zeros(0, bool)], textscan.raw(text)
         for i, j in textscan.pieces(offsets):
-            kept.append(scores(arr.slice(i, j - i), lexicon)[0] < threshold)
-        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
+            kept.append(scores(text.slice(i, j - i), lexicon)[0] < threshold)
+        release()
+        return pa.array(np.concatenate(kept))
 
-    return docs.where(fine(docs["text"].cast("string")))
+    return bounded(docs).where(fine(docs["text"].cast("string")))
 
 
 def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, support: int = STEM_SUPPORT, clean_share: float = STEM_CLEAN_SHARE) -> list[str]:
