@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import textscan
-from segmill.llm.common import bounded, has_table, mapped, release, table
+from segmill.llm.common import Scratch, bounded, has_table, mapped, release, table
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, TEXT_END = range(9)
 
@@ -195,24 +195,25 @@ def keep(docs: DataFrame, stems=(), threshold: float = THRESHOLD) -> DataFrame:
     return bounded(docs).where(fine(docs["text"].cast("string")))
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, support: int = STEM_SUPPORT, clean_share: float = STEM_CLEAN_SHARE) -> list[str]:
+def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, support: int = STEM_SUPPORT, clean_share: float = STEM_CLEAN_SHARE, scratch: Scratch | None = None) -> list[str]:
     """Word beginnings that mark toxic documents, from at most ``rows`` labelled rows.
 
     The rows are those of the least id hashes.  Executors list, for each
     beginning of 4 to 8 letters and each whole word, the toxic texts that hold
-    it; copies of a text count once.  The driver picks stems greedily, the one
+    it; of copies of a text the one of the least id counts.  The driver picks stems greedily, the one
     that is in most unexplained toxic texts first; two stems explain a text, and so do two words
     of the base lexicon.  Labels that are null, that
     contradict one another or whose document is missing are left out.  Without
     labels the result is empty.
     """
     usable = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("__toxic"), F.max("toxic").alias("__most")).where("__toxic = __most").select("doc_id", F.col("__toxic").cast("int").alias("__toxic"))
+    scratch = scratch or Scratch(docs.sparkSession)
     total = usable.count()
     if not total:
         return []
     share = min(1.0, rows / total)
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "__toxic")
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__toxic")  # about ``rows`` ids
 
     def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = textscan.words(batch.column(1))
@@ -221,20 +222,22 @@ def learn_stems(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, s
         ids, words, copies, base, flags = [], [], [], [], batch.column(2).to_pylist()
         for d, doc in enumerate(batch.column(0).to_pylist()):
             p, q = int(w.offsets[d]), int(w.offsets[d + 1])
-            own = shingles[p : max(p + 1, q - 2)]
+            own = shingles[p : q - 2] if q - p > 2 else w.hash[p:q]
             ids.append(doc)
             copies.append(int(own.min() >> np.uint64(1)) if len(own) else -1)
             words.append(sorted({x for x in strings[p:q] if len(x) >= 4}))
             base.append(sum(BASE.get(x) in (INSULT, THREAT) for x in strings[p:q]))
-        return pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(flags, pa.int32()), pa.array(base, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["copy", "toxic", "base", "words"])
-
-    rows_ = mapped(seen, "copy long, toxic int, base long, words array<string>", piece)
-    word = F.explode("words").alias("word")
-    begins = F.explode(F.array_distinct(F.concat(F.array(F.concat("word", F.lit("$"))), F.transform(F.filter(F.array(*map(F.lit, _STEM_LENGTHS)), lambda n: n <= F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)))))
-    at = rows_.select("copy", "toxic", "base", word).select("copy", "toxic", "base", begins.alias("stem"))
-    clean = F.countDistinct(F.when(F.col("toxic") == 0, F.col("copy")))
-    toxic = F.collect_set(F.when((F.col("toxic") == 1) & (F.col("base") < 2), F.col("copy")))
-    found = at.groupBy("stem").agg(clean.alias("clean"), toxic.alias("toxic")).where(F.size("toxic") >= support).where(F.col("clean") <= clean_share * F.size("toxic")).collect()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(flags, pa.int32()), pa.array(base, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["id", "copy", "toxic", "base", "words"])
+
+    rows_ = mapped(seen, "id long, copy long, toxic int, base long, words array<string>", piece)
+    rows_ = scratch.write(rows_.groupBy("copy", "toxic").agg(F.min_by(F.struct("base", "words"), F.struct("id", "base", "words")).alias("x")).select("copy", "toxic", "x.base", "x.words"), "labelled")
+    lengths = F.array(*map(F.lit, _STEM_LENGTHS))
+    begins = F.transform("words", lambda w: F.concat(F.array(F.concat(w, F.lit("$"))), F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))))
+    at = rows_.select("copy", "toxic", "base", F.explode(F.array_distinct(F.flatten(begins))).alias("stem"))
+    marks = (F.col("toxic") == 1) & (F.col("base") < 2)
+    counted = at.groupBy("stem").agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(marks, 1)).alias("n"))
+    useful = scratch.write(counted.where((F.col("n") >= support) & (F.col("clean") <= clean_share * F.col("n"))), "stems")
+    found = at.where(marks).join(useful, "stem").groupBy("stem", "clean").agg(F.collect_set("copy").alias("toxic")).collect()  # as many rows as stems that may serve
     left = {r["stem"]: (set(r["toxic"]), r["clean"]) for r in found if not (r["stem"].rstrip("$") in BASE)}
     stems: list[str] = []
     times: Counter = Counter()  # stems of each text so far; two explain it
