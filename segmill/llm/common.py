@@ -53,7 +53,13 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = self.paths[name] = f"{self.base}/{name}-{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go as soon as the table is there
+        old = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, old)
         self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 

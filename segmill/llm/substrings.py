@@ -133,7 +133,8 @@ def _repeats(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     where = scratch.write(stretches(symbols(own), n), "stretches")
     per = Window.partitionBy("h")
     place = F.struct("__id", "pos")
-    found = windows(own, where, n).withColumn("first", F.min(place).over(per)).withColumn("last", F.max(place).over(per)).where("first < last")
+    every = scratch.write(windows(own, where, n), "windows")  # texts that were shuffled go before windows are
+    found = every.withColumn("first", F.min(place).over(per)).withColumn("last", F.max(place).over(per)).where("first < last")
     found = found.select("__id", "pos", F.col("first.__id").alias("first_id"), (F.col("first.pos") - F.col("pos")).alias("shift"))
     found = found.repartition("__id").distinct()  # one exchange serves what follows, too
     by = Window.partitionBy("__id", "first_id", "shift").orderBy("pos")
