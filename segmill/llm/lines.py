@@ -4,8 +4,11 @@ Lines are hashed; those that stand in one document alone can't be aligned and
 are left out.  A document overlaps with an earlier one where they share a line,
 the rarest first: each shared line names the earliest document that holds it as
 a partner, and a document is aligned with a partner once.  Pairs thus number no
-more than shared lines, however many documents hold a line.  Two documents are
-aligned with patience diff: lines that are unique in both and stand in the same
+more than shared lines, however many documents hold a line.  Lines that this
+leaves in place are then tried, where ``every`` asks for it, with all their
+other earlier holders, until they are deleted or no holder is left; documents
+of the same shared lines align alike, so the earliest stands for them.  Two
+documents are aligned with patience diff: lines that are unique in both and stand in the same
 order anchor the alignment (a longest increasing subsequence), equal lines
 around anchors extend them, and the gaps are aligned in turn.  The aligned
 blocks are deleted from the later document.
@@ -86,14 +89,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     return own.where(F.length(F.trim("line")) >= LEAST_CHARS).select("__id", "pos", F.xxhash64(F.trim("line")).alias("h"))
 
 
-def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """BLOCKS: lines of __id that stand in the same order in the earlier partner; runs without a gap are one block."""
-    per = Window.partitionBy("h")
-    shared = line_table(docs).withColumn("first", F.min("__id").over(per)).withColumn("last", F.max("__id").over(per)).where("first < last").select("__id", "pos", "h", "first")
-    shared = scratch.write(shared, "shared")
-    lines = F.sort_array(F.collect_list(F.struct("pos", "h")))
-    rows = scratch.write(shared.groupBy("__id").agg(F.transform(lines, lambda x: x["pos"]).alias("pos"), F.transform(lines, lambda x: x["h"]).alias("h")), "rows")
-    pairs = shared.where("first < __id").select("__id", F.col("first").alias("partner")).distinct()
+#: How many times as many holders of a line are tried in each round as in all rounds before.
+GROWTH = 4
+
+
+def _aligned(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """BLOCKS of pairs (__id, partner); rows: the shared lines of each document."""
     both = pairs.join(rows, "__id").join(rows.select(F.col("__id").alias("partner"), F.col("pos").alias("pos2"), F.col("h").alias("h2")), "partner")
 
     def run(batches):
@@ -116,19 +117,66 @@ def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return both.select("__id", "partner", "pos", "h", "pos2", "h2").mapInArrow(run, BLOCKS)
 
 
-def blocks(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def _deleted(found: DataFrame) -> DataFrame:
+    return found.select("__id", F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("at"))
+
+
+def _blocks(docs: DataFrame, scratch: Scratch, every: bool = False) -> DataFrame:
+    """BLOCKS: lines of __id that stand in the same order in the earlier partner; runs without a gap are one block."""
+    per = Window.partitionBy("h")
+    shared = line_table(docs).withColumn("first", F.min("__id").over(per)).withColumn("last", F.max("__id").over(per)).where("first < last").select("__id", "pos", "h", "first")
+    shared = scratch.write(shared, "shared")
+    lines = F.sort_array(F.collect_list(F.struct("pos", "h")))
+    rows = scratch.write(shared.groupBy("__id").agg(F.transform(lines, lambda x: x["pos"]).alias("pos"), F.transform(lines, lambda x: x["h"]).alias("h")), "rows")
+    pairs = shared.where("first < __id").select("__id", F.col("first").alias("partner")).distinct()
+    found = _aligned(pairs, rows)
+    return _retried(scratch.write(found, "found"), pairs, shared.where("first < __id"), rows, scratch) if every else found
+
+
+def _retried(found: DataFrame, tried: DataFrame, later: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """found, and the BLOCKS of lines it leaves: each is tried with its other earlier holders until it is deleted.
+
+    Holders of the fewest shared lines come first, as little can cross there.
+    A round tries GROWTH times as many of each line as were tried before, so
+    rounds grow with the logarithm of the holders.
+    """
+
+    def left(lines: DataFrame, out: DataFrame) -> DataFrame:
+        gone = _deleted(out).select("__id", F.col("at").alias("pos")).distinct()
+        return scratch.write(lines.join(gone, ["__id", "pos"], "left_anti").select("__id", "pos", "h"), "open")
+
+    tried = scratch.write(tried, "tried")
+    lines = left(later, found)
+    same = rows.groupBy(F.xxhash64("h").alias("profile"), F.size("h").alias("n")).agg(F.min("__id").alias("partner"))
+    held = rows.join(same.select("partner", "n"), F.col("__id") == F.col("partner")).select("partner", "n", F.explode(F.array_distinct("h")).alias("h"))
+    held = held.join(lines.select("h").distinct(), "h", "left_semi")
+    held = scratch.write(held.select("h", "partner", F.row_number().over(Window.partitionBy("h").orderBy("n", "partner")).alias("k")), "held")
+    low, high = 0, GROWTH
+    while not held.where(F.col("k") > low).join(lines.select("h"), "h", "left_semi").isEmpty():
+        some = held.where((F.col("k") > low) & (F.col("k") <= high)).select("h", "partner")
+        pairs = lines.join(some, "h").where("partner < __id").select("__id", "partner").distinct()
+        pairs = scratch.write(pairs.join(tried, ["__id", "partner"], "left_anti"), "pairs")
+        more = scratch.write(_aligned(pairs, rows), "found")
+        lines, tried, found = left(lines, more), tried.unionByName(pairs), found.unionByName(more)
+        low, high = high, high * GROWTH
+    return found
+
+
+def blocks(docs: DataFrame, scratch: Scratch | None = None, every: bool = False) -> DataFrame:
     """(doc_id, partner_id, line, partner_line, n_lines), lines from 0: what dedup() deletes and where it stands earlier.
 
     Cases as in dedup().
     """
     partner = F.when(F.col("partner") >= 0, F.col("partner")).alias("partner_id")
-    return _blocks(docs, scratch or Scratch(docs.sparkSession)).select(id_or_null("__id"), partner, "line", "partner_line", "n_lines")
+    return _blocks(docs, scratch or Scratch(docs.sparkSession), every).select(id_or_null("__id"), partner, "line", "partner_line", "n_lines")
 
 
-def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch | None = None, every: bool = False) -> DataFrame:
     """(doc_id, text, n_lines, n_deleted) of every row: the text without the lines that are aligned with an earlier document.
 
-    Earlier is the one of the lesser doc_id.  Lines are compared without blanks
+    Earlier is the one of the lesser doc_id.  With ``every``, a line goes if it
+    is aligned with any earlier document; else the earliest holder of each line
+    alone is asked.  Lines are compared without blanks
     at their ends; lines of blanks alone are never deleted.  A null text stays
     null and an empty one empty, with no lines deleted.  A repeated line within one
     document stays unless it is aligned.  Rows that share a doc_id are read as
@@ -137,7 +185,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows.  Other columns are ignored, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    at = _blocks(docs, scratch).select("__id", F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("at"))
+    at = _deleted(_blocks(docs, scratch, every))
     out = scratch.write(at.groupBy("__id").agg(F.collect_set("at").alias("out")), "deleted")
     own = docs.select(row_id(docs).alias("__id"), docs["text"].cast("string").alias("text"))
     lines = F.split("text", "\n", -1)

@@ -30,7 +30,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"))
+    return lines.dedup(table(spark, sf_dir, "documents"), every=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

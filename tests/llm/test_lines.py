@@ -3,7 +3,7 @@ import random
 from fixtures import corpus, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from segmill.llm import lines
+from segmill.llm import lines, queries
 
 
 @settings(max_examples=300, deadline=None)
@@ -74,3 +74,34 @@ def test_cases(spark):
     assert len(found) == len(rows)
     assert {r["n_deleted"] for r in found if r["doc_id"] in (72, 73, 74)} == {0}
     assert lines.dedup(frame(spark, [])).count() == 0
+
+
+def whole(rows):
+    """Aligns each document with every earlier one."""
+    docs = dict(sorted(rows))
+    parts = {k: [(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for k, t in docs.items()}
+    shared = {k: [(i, x) for i, x in own if sum(x in {y for _, y in p} for p in parts.values()) > 1] for k, own in parts.items()}
+    result = {}
+    for k, text in docs.items():
+        gone = {shared[k][i][0] for p in docs if p < k for i, _ in lines.patience([x for _, x in shared[k]], [x for _, x in shared[p]])}
+        result[k] = text if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    return result
+
+
+def test_every_earlier_holder_is_tried(spark):
+    """The earliest holder repeats the hot lines or has them in another order; others of many don't."""
+    rng = random.Random(9)
+    hot = [f"hot {i}" for i in range(6)]
+    rows = [(0, "\n".join([*hot[::-1], *hot]))]
+    for i in range(1, 60):
+        own = [rng.choice(hot) if rng.random() < 0.5 else f"line {rng.randrange(40)}" for _ in range(rng.randrange(1, 12))]
+        rows.append((i, "\n".join(own)))
+    rows += [(60, "hot 1\nhot 0"), (61, "hot 0\nx\nhot 1"), (62, None), (63, rows[7][1])]
+    found = {r["doc_id"]: r["text"] for r in lines.dedup(frame(spark, rows), every=True).collect()}
+    assert found == whole(rows) != brute(rows)
+
+
+def test_the_query_tries_every_holder(spark, tmp_path):
+    rows = [(1, "b\na"), (2, "a"), (3, "b"), (4, "a\nb")]  # of 4, document 1 aligns one line alone
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["n_deleted"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 2}
