@@ -26,8 +26,10 @@ from segmill.llm.common import Scratch, id_or_null, list_array, mapped, release,
 N_WORDS = 13
 #: Items with fewer words aren't searched.
 LEAST_WORDS = 5
-#: A proximity match has this many of the item's rarest terms within 1.5 times the item's length.
+#: A proximity match is sought with this many of the item's rarest terms that the corpus has,
 PROXIMITY_TERMS = 8
+#: of which so many must stand within 1.5 times the item's length.
+PROXIMITY_LEAST = 6
 #: Bytes of benchmark text per pass.
 CHUNK_BYTES = 16 << 20
 
@@ -90,9 +92,9 @@ class Query:
                 self.starts.append(pair)
         near: list[int] = []
         for i in rare:
-            if int(hashes[i]) not in near and len(near) < PROXIMITY_TERMS:
+            if df.get(int(hashes[i]), 0) and int(hashes[i]) not in near and len(near) < PROXIMITY_TERMS:
                 near.append(int(hashes[i]))
-        self.near = near if len(near) == PROXIMITY_TERMS else []
+        self.near = near if len(near) >= PROXIMITY_LEAST and len(set(hashes.tolist())) >= PROXIMITY_TERMS else []
         self.reach = int(1.5 * len(hashes))
 
 
@@ -128,29 +130,29 @@ def _search(q: Query, lists, words: np.ndarray, starts: np.ndarray) -> list[tupl
     out = [(d, "phrase", k, c - int(starts[d]), n) for (d, k, c), n in found.items()]
     if q.near:
         runs = [lists(t) for t in q.near]
-        if all(len(x) for x in runs):
-            best: dict[int, int] = {}
-            for p in runs[0].tolist():
-                d = int(np.searchsorted(starts, p, side="right")) - 1
-                low, high = max(int(starts[d]), p - q.reach), min(int(starts[d + 1]) - 1, p + q.reach)
-                around = [x[np.searchsorted(x, low) : np.searchsorted(x, high, side="right")] for x in runs]
-                if d not in best and all(len(x) for x in around):
-                    every = np.concatenate(around)
-                    which = np.repeat(np.arange(len(around)), [len(x) for x in around])
-                    order = np.argsort(every, kind="stable")
-                    every, which = every[order], which[order]
-                    count, left, missing = [0] * len(around), 0, len(around)
-                    for i in range(len(every)):
-                        missing -= count[which[i]] == 0
-                        count[which[i]] += 1
-                        while every[i] - every[left] >= q.reach:
-                            count[which[left]] -= 1
-                            missing += count[which[left]] == 0
-                            left += 1
-                        if not missing:
-                            best[d] = int(every[left])
-                            break
-            out += [(d, "proximity", 0, p - int(starts[d]), len(q.near)) for d, p in best.items()]
+        # a match lacks too few terms to lack all of these
+        around = np.unique(np.concatenate(runs[: len(runs) - PROXIMITY_LEAST + 1]))
+        at = np.searchsorted(starts, around, side="right") - 1
+        low, high = np.maximum(starts[at], around - q.reach), np.minimum(starts[at + 1] - 1, around + q.reach)
+        held = sum((np.searchsorted(x, high, side="right") > np.searchsorted(x, low)).astype(np.int64) for x in runs)
+        best: dict[int, tuple[int, int]] = {}
+        for d in np.unique(at[held >= PROXIMITY_LEAST]).tolist():
+            own = [x[np.searchsorted(x, starts[d]) : np.searchsorted(x, starts[d + 1])] for x in runs]
+            every = np.concatenate(own)
+            which = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            order = np.argsort(every, kind="stable")
+            every, which = every[order].tolist(), which[order].tolist()
+            count, left, have = [0] * len(own), 0, 0
+            for i, w in enumerate(which):
+                have += count[w] == 0
+                count[w] += 1
+                while every[i] - every[left] >= q.reach:
+                    count[which[left]] -= 1
+                    have -= count[which[left]] == 0
+                    left += 1
+                if have >= PROXIMITY_LEAST and have > best.get(d, (0, 0))[1]:
+                    best[d] = (every[left], have)
+        out += [(d, "proximity", 0, p - int(starts[d]), n) for d, (p, n) in best.items()]
     return out
 
 
@@ -201,8 +203,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, scratch: Sc
     """(doc_id, item_id, kind, item_start, doc_start, n_words), positions in words.
 
     kind phrase: each longest run of at least n equal words (of the whole item
-    if that is shorter); kind proximity: the item's rarest terms close together
-    in any order, once per document and item.  Null texts and ids in benchmark
+    if that is shorter); kind proximity: PROXIMITY_LEAST of the item's rarest terms
+    close together in any order, once per document and item, n_words of them at
+    the first place that has the most.  Null texts and ids in benchmark
     are left out, as are items of fewer than LEAST_WORDS words.  A document
     without id is reported with a null one.  Rows that repeat give a match each.
     Empty tables give no rows.  Other columns are ignored.

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from fixtures import corpus, frame, words
 from segmill.llm import decontaminate, textscan
-from segmill.llm.decontaminate import LEAST_WORDS, N_WORDS, PROXIMITY_TERMS
+from segmill.llm.decontaminate import LEAST_WORDS, N_WORDS, PROXIMITY_LEAST, PROXIMITY_TERMS
 
 BENCH = "item_id long, text string, __id long, terms string"
 
@@ -67,6 +68,40 @@ def test_proximity(spark):
     assert [(r["doc_id"], r["item_id"], r["kind"]) for r in found] == [(1, 5, "proximity")]
 
 
+def test_proximity_of_changed_copies(spark):
+    """Terms that no document has don't stand in the way, and a share of the others is enough."""
+    rng = random.Random(12)
+    item = [f"rare{i}" for i in range(16)]
+    copy = [*item[:8], "changed", *item[9:]]  # no 13 words in a row, and rare8 is in no document
+    few = item[: PROXIMITY_LEAST - 1]
+    rows = [(1, " ".join(words(rng, 30) + copy + words(rng, 30))), (2, " ".join(words(rng, 30) + few)), (3, " ".join(words(rng, 60)))]
+    found = decontaminate.matches(frame(spark, rows), bench(spark, [(5, " ".join(item))])).collect()
+    assert [(r["doc_id"], r["item_id"], r["kind"]) for r in found] == [(1, 5, "proximity")]
+
+
+def test_proximity_equals_brute_force():
+    """Every window of the reach is tried for PROXIMITY_LEAST of the terms."""
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(300):
+        sizes = rng.integers(1, 50, 4)
+        starts = np.append(0, np.cumsum(sizes))
+        text = rng.integers(1, 26, starts[-1]).astype(np.uint64)
+        own = np.unique(text)
+        item = rng.permutation(np.arange(1, 30))[:10].astype(np.uint64)
+        q = decontaminate.Query(1, item, {int(x): int((text == x).sum()) for x in own}, 13)
+        found = {r[0]: r[4] for r in decontaminate._search(q, lambda t: np.flatnonzero(text == np.uint64(t)), text, starts) if r[1] == "proximity"}
+        want = {}
+        for d in range(len(sizes) if q.near else 0):
+            body = text[starts[d] : starts[d + 1]].tolist()
+            most = max(len(set(body[p : p + q.reach]) & set(q.near)) for p in range(len(body)))
+            if most >= PROXIMITY_LEAST:
+                want[d] = most
+        assert found == want
+        hits += len(want)
+    assert hits > 20
+
+
 def test_parts_of_the_benchmark_give_the_same(spark, monkeypatch):
     rows, items = fixture()
     whole = {tuple(r) for r in decontaminate.matches(frame(spark, rows), bench(spark, items)).collect()}
