@@ -43,6 +43,13 @@ def test_recall_of_the_approximate_search(spark):
     assert catalog.QUERIES["recall_approximate"](spark, SF).first()["recall"] >= 0.9
 
 
+def test_recall_asks_for_every_vector(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(catalog.knn, "recall", lambda found, exact, k: asked.append(exact.select("qid").distinct().count()) or exact)
+    catalog.QUERIES["recall_approximate"](spark, SF)
+    assert asked == [spark.read.parquet(f"{SF}/embeddings.parquet").count()]
+
+
 def test_small_world_is_capped_and_repeatable(spark):
     first, again = ({tuple(r) for r in catalog.QUERIES["small_world_graph"](spark, SF).collect()} for _ in range(2))
     assert first == again
