@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,15 @@ def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own where it is unset (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; where it is unset, a folder of our own on one machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get() if context.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="segmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -88,7 +91,10 @@ ARROW_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The frame, in a session whose Arrow batches have ARROW_BYTES at most (a row that is longer is a batch)."""
+    """The frame, in a session whose Arrow batches have ARROW_BYTES at most (a row that is longer is a batch).
+
+    Plans read the setting when they run, so it stays.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(str(conf.get(key)).rstrip("b") or 0) <= ARROW_BYTES:
         conf.set(key, f"{ARROW_BYTES}b")
@@ -127,33 +133,24 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
     return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, np.int32)), pa.array(values, kind))
 
 
-def one_row_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each non-null key: of rows that share one, the least by all columns as text.
-
-    Only rows whose key repeats are sorted; the rest pass without a sort.
-    """
-    twice = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(key).alias("__twice"))
-    rest = docs.join(twice, F.col(key) == F.col("__twice"), "left_anti")
-    return rest.unionByName(least_rows(docs.join(twice, F.col(key) == F.col("__twice"), "left_semi"), key))
-
-
-def least_rows(rows: DataFrame, key: str) -> DataFrame:
-    as_text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    w = Window.partitionBy(key).orderBy("__order")
-    return rows.withColumn("__order", as_text).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__order", "__rank")
+#: Rows without a doc_id get a number below this one; doc_ids themselves are not less.
+LEAST_ID = -(1 << 62)
 
 
 def row_id(docs: DataFrame):
-    """The doc_id, or for a row without one a number below -1 made from its text.
+    """The doc_id, or for a row without one a number below LEAST_ID made from its text.
 
-    Ids themselves are 0 or more.  Rows that share an id, or that lack one and
-    share a text, stand and fall together.
+    Rows that share an id, or that lack one and share a text, stand and fall
+    together.  Any id from LEAST_ID on is carried as it is, negative ones too;
+    a lesser one fails the job.
     """
-    return F.coalesce(docs["doc_id"].cast("long"), -F.shiftrightunsigned(F.xxhash64(docs["text"].cast("string")), 2) - F.lit(2))
+    key = docs["doc_id"].cast("long")
+    made = F.shiftrightunsigned(F.xxhash64(docs["text"].cast("string")), 2) + F.lit(-(1 << 63)).cast("long")
+    return F.when(key.isNull(), made).when(key >= LEAST_ID, key).otherwise(F.raise_error(F.lit("a doc_id is less than -2**62")).cast("long"))
 
 
-def id_or_null(name: str):
-    return F.when(F.col(name) >= 0, F.col(name)).alias("doc_id")
+def id_or_null(name: str, alias: str = "doc_id"):
+    return F.when(F.col(name) >= LEAST_ID, F.col(name)).alias(alias)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -182,17 +179,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Large-star and small-star rounds: each links neighbours to the least one
     around, until nothing changes; the rounds grow with the logarithm of the
-    nodes.  Every round is written.
+    nodes.  The least neighbour is a partial aggregate that is joined back, so
+    a node of very many links is no task of its own.  Every round is written,
+    and the one before it removed.
     """
     edges = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    seen, turn = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", low.alias("m")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = scratch.write(small, "links")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))))
+        small = large.join(low, "u").select(pairs.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        old = "links" if turn == 0 else f"links{turn}"
+        turn += 1
+        edges = scratch.write(small, f"links{turn}")
+        scratch.drop(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -96,25 +96,48 @@ def thresholds(hashed: DataFrame, limits: DataFrame) -> DataFrame:
     return found
 
 
+def free_name(wanted: str, taken) -> str:
+    """The name, or where a column has it (in whatever case) the name with the first free number."""
+    used, name, k = {c.lower() for c in taken}, wanted, 0
+    while name.lower() in used:
+        k += 1
+        name = f"{wanted}_{k}"
+    return name
+
+
+def _mixed(docs: DataFrame, weights, fractions, seed: str, scratch, tier: str) -> DataFrame:
+    key = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
+    hashed = docs.select(docs["source"].alias("__source"), hash48(key, seed).alias("__hash"), token_count(docs["text"]).alias("__tokens"))
+    if scratch is not None:
+        hashed = scratch.write(hashed, "hashed")
+    totals = hashed.groupBy("__source").agg(F.sum("__tokens").alias("__sum"))
+    found = thresholds(hashed, budgets(totals, weights, fractions))
+    source, limits = free_name("__segmill_source", docs.columns), free_name("__segmill_limits", docs.columns)
+    cut = found.groupBy(F.col("__source").alias(source)).agg(F.map_from_entries(F.collect_list(F.struct("__tier", "__threshold"))).alias(limits))  # a row for each source
+    if scratch is not None:
+        cut = scratch.write(cut, "thresholds")
+    h, least = hash48(key, seed), F.lit(None).cast("int")
+    for i in reversed(range(len(fractions))):
+        least = F.when(h < cut[limits][i], F.lit(i)).otherwise(least)
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    return docs.join(cut, cut[source].eqNullSafe(docs["source"])).select(*own, least.alias(tier)).where(F.col(f"`{tier}`").isNotNull())
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, fractions=FRACTIONS, seed: str = "mix", scratch=None) -> DataFrame:
     """Documents of the mix, with ``mix_tier``: the smallest nested subset that holds the row (0 first).
 
     A source keeps its documents in the order of their hash as long as their
     running token sum stays within its budget.  Documents whose hash ties stand
     or fall together.  A null source is a source of its own.  A null id hashes
-    as the empty string; repeated rows tie.  Documents without tokens cost
-    nothing.  An empty table gives no rows.  Other columns pass unchanged.
+    as the empty string; repeated rows tie.  Null and empty texts, and others
+    without tokens, cost nothing.  An empty table gives no rows.  Other columns
+    pass unchanged, whatever their names; where one is called mix_tier, the
+    tier's column is mix_tier_1 (or the next free number).
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    hashed = docs.select(F.col("source").alias("__source"), hash48(key, seed).alias("__hash"), token_count(F.col("text")).alias("__tokens"))
-    if scratch is not None:
-        hashed = scratch.write(hashed, "hashed")
-    totals = hashed.groupBy("__source").agg(F.sum("__tokens").alias("__sum"))
-    cut = thresholds(hashed, budgets(totals, weights, fractions)).groupBy(F.col("__source").alias("__s")).pivot("__tier", list(range(len(fractions)))).agg(F.first("__threshold"))
-    if scratch is not None:
-        cut = scratch.write(cut, "thresholds")
-    h = hash48(key, seed)
-    tier = F.lit(None).cast("int")
-    for i in reversed(range(len(fractions))):
-        tier = F.when(h < F.col(f"`{i}`"), F.lit(i)).otherwise(tier)
-    return docs.join(cut, F.col("__s").eqNullSafe(docs["source"])).withColumn("mix_tier", tier).where(F.col("mix_tier").isNotNull()).drop("__s", *map(str, range(len(fractions))))
+    return _mixed(docs, weights, fractions, seed, scratch, free_name("mix_tier", docs.columns))
+
+
+def keep(docs: DataFrame, weights: dict[str, float] | None = None, fractions=FRACTIONS, seed: str = "mix", scratch=None) -> DataFrame:
+    """The documents of mix() with the columns of docs alone."""
+    tier = free_name("mix_tier", docs.columns)
+    return _mixed(docs, weights, fractions, seed, scratch, tier).drop(tier)

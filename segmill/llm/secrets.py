@@ -279,16 +279,16 @@ class Dfa:
     def __setstate__(self, state):
         self.__dict__.update(state | {"next": state["next"].tolist()})
 
-    def longest(self, data: bytes) -> int:
-        """Bytes of the longest match at the beginning, or -1."""
+    def longest(self, coded: bytes, at: int, stop: int, step: int = 1) -> int:
+        """Bytes of the longest match that begins at a place and goes to ``stop`` at most, or -1; coded: the text's classes."""
         s, best, table, limit, dead = 0, -1, self.next, self.accepting, self.dead
-        for i, b in enumerate(data.translate(self.of)):
-            s = table[s + b]
+        for i in range(at, stop, step):
+            s = table[s + coded[i]]
             if s >= limit:
-                best = i + 1
+                best = i
             elif s == dead:
                 break
-        return best
+        return -1 if best < 0 else abs(best - at) + 1
 
 
 class Scanner:
@@ -303,18 +303,21 @@ class Scanner:
         """(rule, begin, end) in bytes: for each rule, the leftmost longest matches that don't overlap."""
         table, limit, accept, classes = self.all.next, self.all.accepting, self.all.accept, self.all.classes
         s, found, last = 0, [], [0] * len(self.names)
+        coded: dict[int, tuple[bytes, bytes]] = {}  # the text in the classes of a rule's own automata, once a text
         for i, b in enumerate(data.translate(self.all.of)):
             s = table[s + b]
             if s >= limit:
                 for rule in accept[s // classes]:
                     if i >= last[rule]:
-                        reach = self.back[rule].longest(data[last[rule] : i + 1][::-1])
+                        if rule not in coded:
+                            coded[rule] = data.translate(self.back[rule].of), data.translate(self.ahead[rule].of)
+                        back, ahead = coded[rule]
+                        reach = self.back[rule].longest(back, i, last[rule] - 1, -1)
                         if reach < 0:  # it began inside the match before
                             continue
                         begin = i + 1 - reach
-                        end = begin + self.ahead[rule].longest(data[begin:])
+                        last[rule] = end = begin + self.ahead[rule].longest(ahead, begin, len(data))
                         found.append((rule, begin, end))
-                        last[rule] = end
         return sorted(found, key=lambda m: (m[1], m[0]))
 
 
@@ -339,10 +342,10 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFra
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
                 continue
-            data, nth = text.encode(), {}
-            for rule, begin, end in machine.scan(data):
+            data, nth, at, start = text.encode(), {}, 0, 0
+            for rule, begin, end in machine.scan(data):  # by where they begin
                 nth[rule] = nth.get(rule, 0) + 1
-                start = len(data[:begin].decode())
+                start, at = start + len(data[at:begin].decode()), begin
                 rows.append((doc, machine.names[rule], nth[rule], start, len(data[begin:end].decode("utf-8", "replace")), hashlib.sha256(data[begin:end]).hexdigest()))
         if not rows:
             return None
