@@ -26,7 +26,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.pairs(table(spark, sf_dir, "embeddings"))
+    return embeddings.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
