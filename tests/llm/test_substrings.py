@@ -19,22 +19,20 @@ def brute(rows, n=N):
     return {p: min(ps) for ps in places.values() if len(ps) > 1 for p in ps}
 
 
-def covered(df, n=N):
-    found = {}
+def check(df, rows, n=N):
+    """Passages have the words of their first places, and hold all windows that stand in two places."""
+    texts = {key: textscan.words(pa.array([text], pa.string())).hash.tolist() for key, text in rows}
+    want, later, every = brute(rows), set(), set()
     for r in df.collect():
-        for k in range(r["n_words"] - n + 1):
-            at = (r["doc_id"], r["start_word"] + k)
-            assert at not in found
-            found[at] = (r["first_doc_id"], r["first_word"] + k)
-            assert r["is_first"] == (found[at] == at)
-    return found
-
-
-def check(df, rows, recall=0.99):
-    found, want = covered(df), brute(rows)
-    assert all(want.get(at) == first or first in want and want[at] == want[first] for at, first in found.items())
-    assert len(found) >= recall * len(want)
-    assert {d for d, _ in want} == {d for d, _ in found}
+        here, there = (r["doc_id"], r["start_word"]), (r["first_doc_id"], r["first_word"])
+        size = r["n_words"]
+        assert size >= n and texts[here[0]][here[1] : here[1] + size] == texts[there[0]][there[1] : there[1] + size] != []
+        assert there == here if r["is_first"] else there < here
+        places = {(here[0], here[1] + k) for k in range(size - n + 1)}
+        every |= places
+        later |= set() if r["is_first"] else places
+    assert later == {at for at, first in want.items() if at != first}
+    assert every == set(want)
 
 
 def test_documents(spark):
@@ -58,11 +56,48 @@ def test_passages_of_all_lengths_are_found(spark):
 
 def test_symbols_tile_the_texts():
     w = textscan.words(pa.array(["a b c d e f g h i j k l " * 20, None, "", "x", "y y y y y y y y y y y y"]))
-    _, at, size = substrings.parse(w.hash, w.offsets)
+    _, at, size, _, _ = substrings.parse(w.hash, w.offsets)
     assert at[0] == 0 and (at[1:] == at[:-1] + size[:-1]).all() and at[-1] + size[-1] == len(w.hash)
     assert set(w.offsets[:-1][np.diff(w.offsets) > 0].tolist()) <= set(at.tolist())
 
 
+def test_a_symbol_stands_wherever_its_context_does():
+    """Texts of few words that have parts of one another; symbols within a common part are the same."""
+    rng = random.Random(11)
+    seen = 0
+    for turn in range(150):
+        pool = [f"w{i}" for i in range(rng.choice([2, 4, 30, 500]))]
+        common = [rng.choice(pool) for _ in range(70)]
+        found = []
+        for _ in range(2):
+            before, behind = [rng.choice(pool) for _ in range(rng.randrange(40))], [rng.choice(pool) for _ in range(rng.randrange(40))]
+            w = textscan.words(pa.array([" ".join(before + common + behind)]))
+            name, at, size, low, high = substrings.parse(w.hash, w.offsets)
+            own = (low >= len(before)) & (high <= len(before) + 70)
+            found.append(list(zip(*(x.tolist() for x in (name[own], at[own] - len(before), size[own], low[own] - len(before), high[own] - len(before))))))
+        assert found[0] == found[1]
+        seen += len(found[0])
+    assert seen > 500
+
+
+def test_every_window_holds_a_symbol():
+    rng = random.Random(12)
+    texts = ["same " * 200, "tick tock " * 90, " ".join(words(rng, 400)), "a b c d e f g h i j k l m " * 20, "short one"]
+    w = textscan.words(pa.array(texts))
+    _, _, at, size, low, high, valid = substrings.certified(w, N)
+    assert (substrings._holding(low, high, len(w.hash), N) >= valid).all() and valid.sum() > 500
+    assert (high - low <= N).all() and (low <= at).all() and (high >= at + size).all()
+
+
+def test_passages_of_passages(spark):
+    """Parts of one passage stand in other places than the whole, in both orders, so that first places differ along it."""
+    rng = random.Random(13)
+    whole = words(rng, 400)
+    rows = [(i, " ".join(words(rng, 10) + whole[a:b] + words(rng, 10))) for i, (a, b) in enumerate([(100, 180), (0, 70), (150, 400), (0, 400), (60, 230), (0, 400), (350, 400), (20, 69)])]
+    rows += [(20, " ".join(whole[200:300] + whole[50:120] + whole[200:300])), (-4, " ".join(whole[320:390]))]
+    check(substrings.repeats(frame(spark, rows)), rows)
+
+
 def test_dedup_and_cases(spark):
     rng = random.Random(9)
     passage = " ".join(words(rng, 80))
