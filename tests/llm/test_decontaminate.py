@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from fixtures import corpus, frame, words
 from segmill.llm import decontaminate, textscan
-from segmill.llm.decontaminate import LEAST_WORDS, N_WORDS, PROXIMITY_LEAST, PROXIMITY_TERMS
+from segmill.llm.decontaminate import N_WORDS, PROXIMITY_LEAST, PROXIMITY_TERMS
 
 BENCH = "item_id long, text string, __id long, terms string"
 
@@ -22,8 +22,6 @@ def brute(rows, items):
     found = set()
     for item, text in items:
         q = split(text)
-        if len(q) < LEAST_WORDS:
-            continue
         need = min(N_WORDS, len(q))
         for doc, body in rows:
             d = split(body)
@@ -85,16 +83,15 @@ def test_proximity_equals_brute_force():
     hits = 0
     for _ in range(300):
         sizes = rng.integers(1, 50, 4)
-        starts = np.append(0, np.cumsum(sizes))
-        text = rng.integers(1, 26, starts[-1]).astype(np.uint64)
-        own = np.unique(text)
-        item = rng.permutation(np.arange(1, 30))[:10].astype(np.uint64)
-        q = decontaminate.Query(1, item, {int(x): int((text == x).sum()) for x in own}, 13)
-        found = {r[0]: r[4] for r in decontaminate._search(q, lambda t: np.flatnonzero(text == np.uint64(t)), text, starts) if r[1] == "proximity"}
+        texts = [rng.integers(1, 26, n).tolist() for n in sizes]
+        item = rng.permutation(np.arange(1, 30))[:10].tolist()
+        near = decontaminate.near_terms(item, [sum(x in t for t in texts) for x in item])
+        span = decontaminate.reach(len(item))
+        lists = [np.array([(d << decontaminate.SHIFT) + decontaminate.ORIGIN + i for d, t in enumerate(texts) for i, y in enumerate(t) if y == x], np.int64) for x in near]
+        found = {p >> decontaminate.SHIFT: n for p, n in decontaminate.closest(lists, span)} if near else {}
         want = {}
-        for d in range(len(sizes) if q.near else 0):
-            body = text[starts[d] : starts[d + 1]].tolist()
-            most = max(len(set(body[p : p + q.reach]) & set(q.near)) for p in range(len(body)))
+        for d, t in enumerate(texts if near else []):
+            most = max(len(set(t[p : p + span]) & set(near)) for p in range(len(t)))
             if most >= PROXIMITY_LEAST:
                 want[d] = most
         assert found == want
@@ -102,11 +99,29 @@ def test_proximity_equals_brute_force():
     assert hits > 20
 
 
-def test_parts_of_the_benchmark_give_the_same(spark, monkeypatch):
-    rows, items = fixture()
-    whole = {tuple(r) for r in decontaminate.matches(frame(spark, rows), bench(spark, items)).collect()}
-    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 300)
-    assert {tuple(r) for r in decontaminate.matches(frame(spark, rows), bench(spark, items)).collect()} == whole
+def test_proximity_of_tables_equals_brute_force(spark):
+    """Through index, frequencies and joins, over several segments."""
+    rng = random.Random(21)
+    items = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))) for i in range(6)]
+    rows = [(k - 9, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 60)))) for k in range(40)]
+    found = {(r["doc_id"], r["item_id"]): r["n_words"] for r in decontaminate.matches(frame(spark, rows), bench(spark, items)).where("kind = 'proximity'").collect()}
+    want = {}
+    for item, text in items:
+        q = text.split()
+        near = decontaminate.near_terms(q, [sum(x in t.split() for _, t in rows) for x in q])
+        for key, t in rows if near else []:
+            own = t.split()
+            most = max(len(set(own[p : p + decontaminate.reach(len(q))]) & set(near)) for p in range(len(own)))
+            if most >= PROXIMITY_LEAST:
+                want[key, item] = most
+    assert found == want and len(want) > 20
+
+
+def test_short_items_match_whole(spark):
+    rows = [(1, "it is so"), (2, "it is"), (3, "So it is so"), (4, "x " * 30)]
+    found = {(r["doc_id"], r["item_id"], r["doc_start"]) for r in decontaminate.matches(frame(spark, rows), bench(spark, [(1, "it is so"), (2, "x"), (3, "...")])).collect()}
+    assert found == {(1, 1, 0), (3, 1, 1), *((4, 2, i) for i in range(30))}
+    assert decontaminate.keep(frame(spark, rows), bench(spark, [(1, "it is so")])).count() == 4
 
 
 def test_keep_and_cases(spark):
