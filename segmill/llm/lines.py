@@ -1,17 +1,20 @@
 """Line dedup by pairwise alignment.
 
 Lines are hashed; those that stand in one document alone can't be aligned and
-are left out.  A document overlaps with an earlier one where they share a line,
-the rarest first: each shared line names the earliest document that holds it as
-a partner, and a document is aligned with a partner once.  Pairs thus number no
-more than shared lines, however many documents hold a line.  Lines that this
-leaves in place are then tried, where ``every`` asks for it, with all their
-other earlier holders, until they are deleted or no holder is left; documents
-of the same shared lines align alike, so the earliest stands for them.  Two
-documents are aligned with patience diff: lines that are unique in both and stand in the same
-order anchor the alignment (a longest increasing subsequence), equal lines
-around anchors extend them, and the gaps are aligned in turn.  The aligned
-blocks are deleted from the later document.
+are left out.  Documents whose remaining lines are the same in the same order
+align alike, so the earliest stands for them, and the others are aligned with
+it.  Two documents overlap where they share a rare line, one that at most RARE
+of these hold: all such pairs are aligned.  Lines of more holders are the same
+in very many documents; a document with such a line is aligned with the
+earliest that holds it, and lines that are still in place are then tried with
+their other earlier holders, GROWTH times as many each round, until they are
+deleted or no holder is left.  So a line goes if any earlier document aligns
+it, however many hold it, and no group of holders is paired as a whole.
+
+Two documents are aligned with patience diff: lines that are unique in both and
+stand in the same order anchor the alignment (a longest increasing
+subsequence), equal lines around anchors extend them, and the gaps are aligned
+in turn.  The aligned blocks are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmill.llm.common import Scratch, id_or_null, lookup, row_id
+from segmill.llm.common import Scratch, bounded, id_or_null, lookup, row_id
 
 #: Letters and signs of a line, blanks at its ends aside, from which on it is compared.
 LEAST_CHARS = 1
@@ -89,6 +92,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     return own.where(F.length(F.trim("line")) >= LEAST_CHARS).select("__id", "pos", F.xxhash64(F.trim("line")).alias("h"))
 
 
+#: Different documents that hold a rare line, at most.
+RARE = 16
 #: How many times as many holders of a line are tried in each round as in all rounds before.
 GROWTH = 4
 
@@ -114,78 +119,86 @@ def _aligned(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["__id", "partner", "line", "partner_line", "n_lines"])
 
-    return both.select("__id", "partner", "pos", "h", "pos2", "h2").mapInArrow(run, BLOCKS)
+    return bounded(both.select("__id", "partner", "pos", "h", "pos2", "h2")).mapInArrow(run, BLOCKS)
 
 
 def _deleted(found: DataFrame) -> DataFrame:
     return found.select("__id", F.explode(F.sequence("line", F.col("line") + F.col("n_lines") - 1)).alias("at"))
 
 
-def _blocks(docs: DataFrame, scratch: Scratch, every: bool = False) -> DataFrame:
+def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """BLOCKS: lines of __id that stand in the same order in the earlier partner; runs without a gap are one block."""
-    per = Window.partitionBy("h")
-    shared = line_table(docs).withColumn("first", F.min("__id").over(per)).withColumn("last", F.max("__id").over(per)).where("first < last").select("__id", "pos", "h", "first")
-    shared = scratch.write(shared, "shared")
+    each = scratch.write(line_table(docs), "lines")
+    several = each.groupBy("h").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where("low < high").select("h")
     lines = F.sort_array(F.collect_list(F.struct("pos", "h")))
-    rows = scratch.write(shared.groupBy("__id").agg(F.transform(lines, lambda x: x["pos"]).alias("pos"), F.transform(lines, lambda x: x["h"]).alias("h")), "rows")
-    pairs = shared.where("first < __id").select("__id", F.col("first").alias("partner")).distinct()
-    found = _aligned(pairs, rows)
-    return _retried(scratch.write(found, "found"), pairs, shared.where("first < __id"), rows, scratch) if every else found
-
-
-def _retried(found: DataFrame, tried: DataFrame, later: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """found, and the BLOCKS of lines it leaves: each is tried with its other earlier holders until it is deleted.
-
-    Holders of the fewest shared lines come first, as little can cross there.
-    A round tries GROWTH times as many of each line as were tried before, so
-    rounds grow with the logarithm of the holders.
+    shared = each.join(several, "h").groupBy("__id").agg(lines.alias("x")).select("__id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"))
+    rows = scratch.write(shared.withColumn("profile", F.struct(F.xxhash64("h"), F.xxhash64(F.lit(1), "h"))), "rows")
+    first = rows.groupBy("profile").agg(F.min("__id").alias("rep"))
+    placed = scratch.write(rows.join(first, "profile").select("__id", "rep"), "placed")
+    copies = placed.where(F.col("__id") != F.col("rep")).select("__id", F.col("rep").alias("partner"))
+    reps = rows.join(placed.where(F.col("__id") == F.col("rep")).select("__id"), "__id", "left_semi")
+    held = reps.select("__id", F.explode(F.array_distinct("h")).alias("h"))
+    counts = held.groupBy("h").agg(F.count("*").alias("n"), F.min("__id").alias("first"))
+    held = scratch.write(held.join(counts.where("n > 1"), "h").select("h", "__id", "n", "first"), "held")
+    rare = held.where(F.col("n") <= RARE).select("h", "__id")
+    pairs = rare.join(rare.select("h", F.col("__id").alias("partner")), "h").where("partner < __id").select("__id", "partner")
+    frequent = held.where((F.col("n") > RARE) & (F.col("first") < F.col("__id"))).select("__id", F.col("first").alias("partner"))
+    pairs = scratch.write(pairs.unionByName(frequent).unionByName(copies).distinct(), "pairs")
+    found = scratch.write(_aligned(pairs, rows), "found")
+    return _retried(found, pairs, held.where(F.col("n") > RARE), reps, rows, scratch)
+
+
+def _retried(found: DataFrame, tried: DataFrame, held: DataFrame, reps: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """found, and the BLOCKS of frequent lines it leaves: each is tried with its other earlier holders until it is deleted.
+
+    A round tries those holders whose hash for the line lies below a threshold
+    that grows, so that no list of holders is ranked; rounds grow with the
+    logarithm of the holders.
     """
 
     def left(lines: DataFrame, out: DataFrame) -> DataFrame:
         gone = _deleted(out).select("__id", F.col("at").alias("pos")).distinct()
-        return scratch.write(lines.join(gone, ["__id", "pos"], "left_anti").select("__id", "pos", "h"), "open")
-
-    tried = scratch.write(tried, "tried")
-    lines = left(later, found)
-    same = rows.groupBy(F.xxhash64("h").alias("profile"), F.size("h").alias("n")).agg(F.min("__id").alias("partner"))
-    held = rows.join(same.select("partner", "n"), F.col("__id") == F.col("partner")).select("partner", "n", F.explode(F.array_distinct("h")).alias("h"))
-    held = held.join(lines.select("h").distinct(), "h", "left_semi")
-    held = scratch.write(held.select("h", "partner", F.row_number().over(Window.partitionBy("h").orderBy("n", "partner")).alias("k")), "held")
+        return scratch.write(lines.join(gone, ["__id", "pos"], "left_anti"), "open")
+
+    own = reps.select("__id", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("__id", F.col("x.pos").cast("long").alias("pos"), F.col("x.h").alias("h"))
+    lines = left(own.join(held.where(F.col("first") < F.col("__id")), ["h", "__id"]).select("__id", "pos", "h", "n"), found)
+    share = F.pmod(F.xxhash64("__id", "h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
     low, high = 0, GROWTH
-    while not held.where(F.col("k") > low).join(lines.select("h"), "h", "left_semi").isEmpty():
-        some = held.where((F.col("k") > low) & (F.col("k") <= high)).select("h", "partner")
-        pairs = lines.join(some, "h").where("partner < __id").select("__id", "partner").distinct()
+    while (most := lines.agg(F.max("n")).first()[0] or 0) > low:
+        some = held.where((share >= low) & (share < high)).select("h", F.col("__id").alias("partner"))
+        pairs = lines.select("__id", "h").distinct().join(some, "h").where("partner < __id").select("__id", "partner").distinct()
         pairs = scratch.write(pairs.join(tried, ["__id", "partner"], "left_anti"), "pairs")
-        more = scratch.write(_aligned(pairs, rows), "found")
-        lines, tried, found = left(lines, more), tried.unionByName(pairs), found.unionByName(more)
-        low, high = high, high * GROWTH
+        if not pairs.isEmpty():
+            more = scratch.write(_aligned(pairs, rows), "found")
+            lines, tried, found = left(lines, more), tried.unionByName(pairs), found.unionByName(more)
+        low, high = high, min(high * GROWTH, max(most, high + 1))
     return found
 
 
-def blocks(docs: DataFrame, scratch: Scratch | None = None, every: bool = False) -> DataFrame:
+def blocks(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, partner_id, line, partner_line, n_lines), lines from 0: what dedup() deletes and where it stands earlier.
 
-    Cases as in dedup().
+    Partners are those that were tried: a line that is already deleted isn't
+    looked for in further documents.  Cases as in dedup().
     """
-    partner = F.when(F.col("partner") >= 0, F.col("partner")).alias("partner_id")
-    return _blocks(docs, scratch or Scratch(docs.sparkSession), every).select(id_or_null("__id"), partner, "line", "partner_line", "n_lines")
+    return _blocks(docs, scratch or Scratch(docs.sparkSession)).select(id_or_null("__id"), id_or_null("partner", "partner_id"), "line", "partner_line", "n_lines")
 
 
-def dedup(docs: DataFrame, scratch: Scratch | None = None, every: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_deleted) of every row: the text without the lines that are aligned with an earlier document.
 
-    Earlier is the one of the lesser doc_id.  With ``every``, a line goes if it
-    is aligned with any earlier document; else the earliest holder of each line
-    alone is asked.  Lines are compared without blanks
-    at their ends; lines of blanks alone are never deleted.  A null text stays
-    null and an empty one empty, with no lines deleted.  A repeated line within one
-    document stays unless it is aligned.  Rows that share a doc_id are read as
-    one document, line by line; a row without one counts under an id below -1
-    made from its text, and so before all others.  An empty table gives no
-    rows.  Other columns are ignored, whatever their names.
+    Earlier is the one of the lesser doc_id.  A line goes if it is aligned with
+    any earlier document; so of two lines that stand in another order in one
+    earlier document both go if others have them, too.  Lines are compared
+    without blanks at their ends; lines of blanks alone are never deleted.  A
+    null text stays null and an empty one empty, with no lines deleted.  A
+    repeated line within one document stays unless it is aligned.  Rows that
+    share a doc_id are read as one document, line by line; a row without one
+    counts under an id made from its text, before all others.  An empty table
+    gives no rows.  Other columns are ignored, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    at = _deleted(_blocks(docs, scratch, every))
+    at = _deleted(_blocks(docs, scratch))
     out = scratch.write(at.groupBy("__id").agg(F.collect_set("at").alias("out")), "deleted")
     own = docs.select(row_id(docs).alias("__id"), docs["text"].cast("string").alias("text"))
     lines = F.split("text", "\n", -1)
