@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from segmill.errors import SegmentError
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,9 +29,29 @@ def session(app: str = "segmill", master: str | None = None, **conf: str) -> Spa
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path in that of spark.checkpoint.dir; where it is unset, on one machine, in a temporary folder."""
+    """A new folder's path in that of spark.checkpoint.dir; where it is unset, a temporary folder on one machine and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise SegmentError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="segmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table written to the shared folder: it is computed once and outlives executors; it goes when the process ends."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended; its folder goes with it
+        return
