@@ -32,6 +32,17 @@ def token_count(text: Column | str) -> Column:
     return F.coalesce(F.size(F.when(_col(text).isNotNull(), tokens(text))), F.lit(0)).cast("long")
 
 
+def lines(text: Column | str) -> Column:
+    """The lines of a text; a line end at its end adds none, and an empty text has none."""
+    c = F.regexp_replace(_col(text), r"\n\z", "")
+    return F.when(_col(text) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\n", -1))
+
+
+def valid_utf8(data: Column | str) -> Column:
+    """Whether bytes are UTF-8."""
+    return F.is_valid_utf8(_col(data).cast("string"))
+
+
 def norm_byte(length: Column | str) -> Column:
     """One byte for a field's length: exact below 24, then a 3-bit mantissa and an exponent; 0 for negative lengths."""
     n = F.greatest(_col(length).cast("long"), F.lit(0))

@@ -40,3 +40,8 @@ def similarity(name: str, v: Column | str, q: Column | str) -> Column:
     if name not in SIMILARITIES:
         raise ValueError(f"unknown similarity {name!r}: one of {', '.join(SIMILARITIES)}")
     return {"euclidean": euclidean, "cosine": cosine}.get(name, dot)(v, q)
+
+
+def similarity_name(ordinal: Column | str) -> Column:
+    """The name of a similarity's number, null for others."""
+    return F.create_map(*[x for n, i in SIMILARITIES.items() for x in (F.lit(i), F.lit(n))])[_col(ordinal).cast("int")]

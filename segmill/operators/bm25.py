@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from segmill.errors import SegmentError
 from segmill.functions.text import norm_length, tokens
-from segmill.operators.postings import by_document
+from segmill.operators.postings import spread
+from segmill.session import cut
 
 K1, B = 1.2, 0.75
-#: Terms of all queries together up to which they are sent to every task.
-BROADCAST_TERMS = 1_000_000
+#: Terms of all queries together up to which they are looked up in a hash set of the plan; more are joined.
+PLAN_TERMS = 1000
 
 
 def query_frame(spark, queries: dict[str, Sequence[str]]) -> DataFrame:
@@ -43,34 +44,39 @@ def scores(docs: DataFrame, queries: dict[str, Sequence[str]], key: str = "doc_i
 
     A document keeps only its length and the terms that are asked for before
     anything is shuffled.  That small relation is read twice, for the statistics
-    and for the scores, and persisted in between.
+    and for the scores, and written to the shared folder in between.
     """
     wanted = sorted({t for ts in queries.values() for t in ts})
-    if len(wanted) > BROADCAST_TERMS:
-        raise SegmentError("too many query terms for one pass over texts; build an index and use scores_of_index()")
     spark = docs.sparkSession
-    own = F.array(*map(F.lit, wanted)).cast("array<string>")
-    found = by_document(docs, [key], text).select(F.col(key).alias("doc_id"), tokens(text).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.filter("t", lambda t: F.array_contains(own, t)).alias("hits"))
-    found = found.select("doc_id", F.greatest("n", F.lit(0)).alias("n"), F.coalesce("hits", F.array().cast("array<string>")).alias("hits")).persist()
+    asked = query_frame(spark, queries)
+    own = spread(docs, [key], text).select(F.col(key).alias("doc_id"), tokens(text).alias("t")).select("doc_id", F.greatest(F.size("t").cast("long"), F.lit(0)).alias("n"), "t")
+    if len(wanted) <= PLAN_TERMS:
+        own = own.withColumn("t", F.filter("t", lambda t: t.isin(wanted)))
+    found = cut(own.withColumn("t", F.coalesce("t", F.array().cast("array<string>"))), "bm25")
     stats = found.agg(F.count("*").cast("double").alias("nd"), (F.sum("n").cast("double") / F.count("*")).alias("mean"))
-    tf = found.where(F.size("hits") > 0).select("doc_id", norm_length("n").cast("double").alias("dl"), F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("freq"))
+    each = found.where(F.size("t") > 0).select("doc_id", norm_length("n").cast("double").alias("dl"), F.explode("t").alias("term"))
+    if len(wanted) > PLAN_TERMS:
+        each = each.join(asked.select("term").distinct(), "term", "left_semi")
+    tf = each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("freq"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    return _scored(tf, df, stats, query_frame(spark, queries))
+    return _scored(tf, df, stats, asked)
 
 
 def _scored(tf: DataFrame, df: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    asked = queries.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).select("qid", "term", "mean", (F.col("weight") * _idf(F.col("nd"), F.col("df"))).alias("idf"))
-    return tf.join(F.broadcast(asked), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("idf") * _part(F.col("freq"), F.col("dl"), F.col("mean"))).alias("score"))
+    """Queries and frequencies are broadcast where Spark finds them small; statistics are one row."""
+    asked = queries.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "mean", (F.col("weight") * _idf(F.col("nd"), F.col("df"))).alias("idf"))
+    return tf.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("idf") * _part(F.col("freq"), F.col("dl"), F.col("mean"))).alias("score"))
 
 
 def scores_of_index(postings: DataFrame, lengths: DataFrame, queries: dict[str, Sequence[str]]) -> DataFrame:
     """(qid, doc_id, score) from postings (doc_id, term, freq) and lengths (doc_id, length).
 
-    Postings stored in the order of terms are read for the asked terms alone.
+    Postings that are stored in the order of terms, as Store.index() writes
+    them, are read for the asked terms alone.
     """
     asked = query_frame(postings.sparkSession, queries)
     terms = sorted({t for ts in queries.values() for t in ts})
-    picked = postings.where(F.col("term").isin(terms)) if len(terms) <= 1000 else postings.join(asked.select("term").distinct(), "term", "left_semi")
+    picked = postings.where(F.col("term").isin(terms)) if len(terms) <= PLAN_TERMS else postings.join(asked.select("term").distinct(), "term", "left_semi")
     stats = lengths.agg(F.count("*").cast("double").alias("nd"), (F.sum("length").cast("double") / F.count("*")).alias("mean"))
     df = picked.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     tf = picked.join(lengths.select("doc_id", norm_length("length").cast("double").alias("dl")), "doc_id")

@@ -12,6 +12,8 @@ from segmill.functions.vector import SIMILARITIES
 
 #: Bytes of query vectors that go to every task; more queries than that meet the vectors in blocks.
 QUERY_BYTES = 64 << 20
+#: Differences of vectors that are held at once.
+DIFFERENCES = 1 << 20
 #: Scores are ranked on so many places, then by id.
 PLACES = 9
 _FOUND = "qid long, id long, score double"
@@ -24,10 +26,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 def similarities(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """Queries by vectors.  Distances are summed from differences, which loses no digits to cancellation."""
     if metric == "euclidean":
-        out = np.empty((len(q), len(x)))
-        for i, v in enumerate(q):
-            d = x - v
-            out[i] = -np.einsum("ij,ij->i", d, d)
+        out, step = np.empty((len(q), len(x))), max(1, DIFFERENCES // max(1, x.size))
+        for i in range(0, len(q), step):
+            d = x[None, :, :] - q[i : i + step, None, :]
+            out[i : i + step] = -np.einsum("qij,qij->qi", d, d)
         return out
     s = q @ x.T
     if metric == "cosine":

@@ -68,3 +68,10 @@ def list_offsets(rows: DataFrame, column: str) -> DataFrame:
     w = Window.partitionBy("_seg").orderBy("_doc").rowsBetween(Window.unboundedPreceding, -1)
     sized = rows.select("_seg", "_doc", n.alias("n"))
     return sized.select("_seg", "_doc", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("offset"), "n")
+
+
+def rank_table(rows: DataFrame, column: str, block: int = 512) -> DataFrame:
+    """(_seg, block, n, rank): values in each block of so many documents of a segment, and in the blocks before it."""
+    counted = rows.groupBy("_seg", F.floor(F.col("_doc") / block).cast("long").alias("block")).agg(F.count(column).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_seg").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return counted.withColumn("rank", F.coalesce(before, F.lit(0)).cast("long"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmill.functions.text import norm_byte, token_count, tokens
 
@@ -11,15 +15,10 @@ from segmill.functions.text import norm_byte, token_count, tokens
 BLOCK = 128
 
 
-def by_document(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Texts hashed by their keys, to as many partitions as a shuffle has.
-
-    What follows is counted where the document is: texts are smaller than their
-    postings, so they are moved and the postings aren't, and a file that one
-    task would read is spread over all.
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(*keys, text).repartition(n, *keys)
+def spread(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Keys and texts where they are; only where the input has fewer splits than there are cores are they hashed to all of them."""
+    own, cores = docs.select(*keys, text), docs.sparkSession.sparkContext.defaultParallelism
+    return own if own._jdf.queryExecution().toRdd().getNumPartitions() >= cores else own.repartition(cores, *keys)
 
 
 def token_stream(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,20 +26,36 @@ def token_stream(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key).alias("doc"), F.posexplode(tokens(text)).alias("pos", "term"))
 
 
-def postings(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text", unique: bool = False) -> DataFrame:
     """(key..., term, freq): how often each term stands in each document.
 
-    Rows that share a key are one document.
+    Rows that share a key are one document, whose terms are put together by an
+    exchange.  Where the caller knows that no two rows share a key (``unique``),
+    each row's terms are counted where the row is.
     """
     keys = [key] if isinstance(key, str) else key
-    terms = by_document(docs, keys, text).select(*keys, F.explode(tokens(text)).alias("term"))
-    return terms.groupBy(*keys, "term").agg(F.count("*").alias("freq"))
+    cut = spread(docs, keys, text)
+    if not unique:
+        return cut.select(*keys, F.explode(tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("freq"))
+    rows = cut.select(*keys, tokens(text).alias("term"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(len(keys))
+            coded = pc.fill_null(lists, []).flatten().dictionary_encode()
+            size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            n = max(1, len(coded.dictionary))
+            cell, freq = np.unique(np.repeat(np.arange(len(size)), size) * n + coded.indices.to_numpy(), return_counts=True)
+            at = pa.array(cell // n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), coded.dictionary.take(pa.array(cell % n)), pa.array(freq.astype(np.int64))], [*keys, "term", "freq"])
+
+    kinds = T.StructType([*(f for f in rows.schema.fields if f.name in keys), T.StructField("term", T.StringType()), T.StructField("freq", T.LongType())])
+    return rows.mapInArrow(run, kinds)
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, length, norm): tokens of each document, and the byte that keeps it."""
-    counted = by_document(docs, [key], text).select(F.col(key), token_count(text).alias("length"))
-    return counted.withColumn("norm", norm_byte("length"))
+    """(doc_id, length, norm): tokens of each document, and the byte that keeps it; a map over the rows."""
+    return docs.select(F.col(key), token_count(text).alias("length")).withColumn("norm", norm_byte("length"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

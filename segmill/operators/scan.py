@@ -36,11 +36,6 @@ def with_live(rows: DataFrame, dead: Column | DataFrame) -> DataFrame:
     return rows.join(marked, ["_seg", "_doc"], "left").withColumn("_live", F.col("__dead").isNull()).drop("__dead")
 
 
-def drop_dead(rows: DataFrame, dead: DataFrame) -> DataFrame:
-    """Rows without those whose (_seg, _doc) is in dead."""
-    return rows.join(dead.select("_seg", "_doc"), ["_seg", "_doc"], "left_anti")
-
-
 def only_live(relation: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of any relation of (_seg, _doc), such as postings, whose document is live."""
     return relation.join(docs.where("_live").select("_seg", "_doc"), ["_seg", "_doc"], "left_semi")
@@ -101,19 +96,21 @@ def scan(rows: DataFrame, row_mode: str, columns: Sequence[str] | None = None, s
 
 
 def batches(frame: DataFrame, batch_rows: int = BATCH_ROWS):
-    """Arrow batches of at most batch_rows rows, one after another, as the executors finish them."""
+    """Arrow batches of at most batch_rows rows, partition after partition; the driver holds one partition's at a time."""
     if batch_rows < 1:
         raise SegmentError("batch_rows must be at least 1")
     import pyarrow as pa
 
-    spark = frame.sparkSession
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    try:
-        table: pa.Table = frame.toArrow()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    yield from table.to_batches(max_chunksize=batch_rows)
+    def packed(found):
+        for batch in found:
+            for at in range(0, batch.num_rows, batch_rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, batch_rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    for row in frame.mapInArrow(packed, "batch binary").toLocalIterator():
+        yield from pa.ipc.open_stream(row["batch"])
 
 
 def unite(*relations: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def segment_stats(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
         elif kind == "vector":
             values, terms, size = F.count(c), F.lit(None).cast("long"), F.sum(F.size(c)) * 4
         else:
-            values, terms, size = F.sum(F.when(c.isNotNull(), F.size(c))), F.lit(None).cast("long"), F.sum(F.when(c.isNotNull(), F.size(c))) * 8
+            values, terms, size = F.sum(F.when(c.isNotNull(), F.size(c))), F.lit(None).cast("long"), F.sum(F.when(c.isNotNull(), F.size(c))) * 8 if kind == "sorted_numeric" else None
         aggs += [values.alias(f"v{i}"), terms.alias(f"t{i}"), (size if size is not None else F.lit(None)).cast("long").alias(f"b{i}")]
         shapes.append(F.struct(F.lit(name).alias("field"), F.lit(kind).alias("shape"), F.coalesce(F.col(f"v{i}"), F.lit(0)).cast("long").alias("num_values"), F.col(f"t{i}").alias("num_terms"), F.col(f"b{i}").alias("payload_bytes")))
     return rows.groupBy("_seg").agg(*aggs).select("_seg", F.explode(F.array(*shapes)).alias("s")).select("_seg", "s.*")

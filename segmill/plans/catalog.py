@@ -318,11 +318,13 @@ def list_offsets(t, spark):
 
 
 def _pairs(t) -> DataFrame:
-    at = (F.col("event_id") * 7) % 1300
-    return t("events").where("event_id < 2000").select(F.col("event_id").alias("pos"), F.floor(at / 250).cast("int").alias("_seg"), (at % 250).cast("int").alias("_doc"))
+    """A request for each event, spread over all documents and a tenth beyond their end."""
+    n = t("documents").agg((F.count("*") * 11 / 10 + 1).cast("long").alias("n"))  # one row
+    at = (F.col("event_id") * 7) % F.col("n")
+    return t("events").crossJoin(F.broadcast(n)).select(F.col("event_id").alias("pos"), F.floor(at / 250).cast("int").alias("_seg"), (at % 250).cast("int").alias("_doc"))
 
 
-_PAIRS = "SELECT event_id AS pos, ((event_id * 7) % 1300 // 250)::INT AS _seg, ((event_id * 7) % 1300 % 250)::INT AS _doc FROM events WHERE event_id < 2000"
+_PAIRS = "SELECT event_id AS pos, ((event_id * 7) % n // 250)::INT AS _seg, ((event_id * 7) % n % 250)::INT AS _doc FROM events, (SELECT count(*) * 11 // 10 + 1 AS n FROM documents)"
 
 
 @query(f"SELECT pos, _seg, _doc, lang, n_chars FROM ({_PAIRS}) p LEFT JOIN (SELECT doc_id, lang, n_chars FROM documents) d ON d.doc_id = p._seg * 250 + p._doc")
@@ -368,49 +370,49 @@ def doc_lengths(t, spark):
 
 @query(_POSTED)
 def postings_scan(t, spark):
-    return postings.postings(t("documents"))
+    return postings.postings(t("documents"), unique=True)
 
 
 @query(f"SELECT (doc_id // 250)::INT AS _seg, (doc_id % 250)::INT AS _doc, term, freq FROM ({_POSTED})")
 def postings_segmented(t, spark):
-    return postings.postings(scan.address(t("documents"), "doc_id", 250), ["_seg", "_doc"])
+    return postings.postings(scan.address(t("documents"), "doc_id", 250), ["_seg", "_doc"], unique=True)
 
 
 @query(f"SELECT term, count(*) AS doc_freq, sum(freq)::BIGINT AS total_freq FROM ({_POSTED}) GROUP BY 1")
 def term_stats(t, spark):
-    return postings.term_stats(postings.postings(t("documents")))
+    return postings.term_stats(postings.postings(t("documents"), unique=True))
 
 
 @query(f"SELECT count(DISTINCT term) AS num_terms, count(*) AS sum_doc_freq, sum(freq)::BIGINT AS sum_total_freq, min(term) AS min_term, max(term) AS max_term, count(DISTINCT doc_id) AS doc_count FROM ({_POSTED})")
 def field_stats(t, spark):
-    return postings.field_stats(postings.postings(t("documents")))
+    return postings.field_stats(postings.postings(t("documents"), unique=True))
 
 
 @query(f"SELECT sum(doc_id + freq)::BIGINT AS checksum, count(*) AS num_postings FROM ({_POSTED})")
 def postings_checksum(t, spark):
-    return postings.checksum(postings.postings(t("documents")))
+    return postings.checksum(postings.postings(t("documents"), unique=True))
 
 
 @query(f"SELECT doc_id, term, freq, doc_id - lag(doc_id, 1, -1) OVER (PARTITION BY term ORDER BY doc_id) AS delta FROM ({_POSTED})")
 def postings_delta(t, spark):
-    return postings.deltas(postings.postings(t("documents")))
+    return postings.deltas(postings.postings(t("documents"), unique=True))
 
 
 @query(f"""WITH p AS ({_POSTED}), b AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block, lag(doc_id, 1, -1) OVER (PARTITION BY term ORDER BY doc_id) AS prev FROM p)
 SELECT term, block::BIGINT AS block, min(prev) AS base, max(doc_id) AS last, count(*) AS n, sum(freq)::BIGINT AS sum_freq FROM b GROUP BY ALL""")
 def postings_blocks(t, spark):
-    return postings.blocks(postings.postings(t("documents")))
+    return postings.blocks(postings.postings(t("documents"), unique=True))
 
 
 @query(f"SELECT doc_id, term, freq, (dense_rank() OVER (ORDER BY term) - 1)::BIGINT AS ord FROM ({_POSTED})")
 def postings_ordinals(t, spark):
-    return postings.with_ordinals(postings.postings(t("documents")))
+    return postings.with_ordinals(postings.postings(t("documents"), unique=True))
 
 
 @query(f"SELECT (doc_id // 250)::INT AS _seg, (doc_id % 250)::INT AS _doc, term, freq FROM ({_POSTED}) WHERE (doc_id % 250) % 9 <> 4")
 def postings_live(t, spark):
     docs = scan.with_live(scan.address(t("documents"), "doc_id", 250), F.col("_doc") % 9 == 4)
-    return scan.only_live(postings.postings(docs, ["_seg", "_doc"]), docs)
+    return scan.only_live(postings.postings(docs, ["_seg", "_doc"], unique=True), docs)
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, strlen(text)::BIGINT AS n_bytes FROM documents")
@@ -418,6 +420,138 @@ def line_counts(t, spark):
     return t("documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+@query("SELECT doc_id, (i - 1)::INT AS line, lines[i] AS text FROM (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN text[1:-2] ELSE text END, chr(10)) AS lines FROM documents WHERE text <> ''), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)")
+def line_documents(t, spark):
+    """Each line of a text as a document; a line end at the end adds none."""
+    return t("documents").select("doc_id", F.posexplode(text.lines("text")).alias("line", "text"))
+
+
+@query("SELECT doc_id, n::BIGINT AS n, TRY(decode(encode(text)[1:n])) IS NOT NULL AS valid FROM documents, (VALUES (1), (2), (3), (5), (64), (100000000)) v(n)")
+def utf8_validity(t, spark):
+    """Texts cut after some bytes, of which some lie within a character."""
+    cut = t("documents").select("doc_id", F.encode("text", "utf-8").alias("data"), F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 64, 100000000)))).alias("n"))
+    return cut.select("doc_id", F.col("n").cast("long").alias("n"), text.valid_utf8(F.substring("data", F.lit(1), F.col("n"))).alias("valid"))
+
+
+@query("""WITH n AS (SELECT DISTINCT c_name AS term FROM customer), p AS (SELECT term, lag(term) OVER (ORDER BY term) AS prev FROM n)
+SELECT term, least(coalesce(len(list_filter(range(1, least(length(term), length(prev)) + 1), lambda i: term[1:i] = prev[1:i])), 0) + 1, strlen(term))::BIGINT AS bytes FROM p WHERE prev IS NOT NULL""")
+def sort_key_lengths(t, spark):
+    """How many bytes of each term tell it from the one before it."""
+    ranked = ordinals.global_dictionary(t("customer"), "c_name")
+    before = ranked.select((F.col("global_ord") + 1).alias("global_ord"), F.col("term").alias("prev"))
+    return ranked.join(before, "global_ord").select("term", text.sort_key_length("prev", "term").alias("bytes"))
+
+
+# ---- stores of texts
+
+_TEXT_SIZE = segment_rows(100, 250)
+
+
+def _text_store(t, spark) -> Store:
+    store = Store(spark, work_dir(spark, "texts"))
+    store.write(t("documents").select("doc_id", "lang", "text"), segment_max_docs=250, batch_rows=100, key="doc_id")
+    store.index("text")
+    return store
+
+
+@query(f"SELECT (doc_id // {_TEXT_SIZE})::INT AS _seg, (doc_id % {_TEXT_SIZE})::INT AS _doc, term, freq FROM ({_POSTED})")
+def stored_postings(t, spark):
+    """Postings as a store's index has them."""
+    return _text_store(t, spark).postings("text")
+
+
+@query(f"SELECT (doc_id // {_TEXT_SIZE})::INT AS _seg, (doc_id % {_TEXT_SIZE})::INT AS _doc, term, freq FROM ({_POSTED})")
+def requested_postings(t, spark):
+    """A request for postings."""
+    from segmill.plans import requests
+
+    store = _text_store(t, spark)
+    return requests.read(spark, {"path": store.path, "relation": "postings", "postings_field": "text"}).frame
+
+
+@query(f"SELECT (doc_id // {_TEXT_SIZE})::INT AS _seg, (doc_id % {_TEXT_SIZE})::INT AS _doc, n AS length, ({_NORM})::INT AS norm FROM (SELECT doc_id, len({_TOKENS})::BIGINT AS n FROM documents)")
+def stored_norms(t, spark):
+    return _text_store(t, spark).lengths("text")
+
+
+@query(f"""WITH o AS (SELECT (o_orderkey // {_SIZE})::INT AS _seg, (o_orderkey % {_SIZE})::INT AS _doc, * FROM orders),
+d AS (SELECT _seg, o_orderstatus, (dense_rank() OVER (PARTITION BY _seg ORDER BY o_orderstatus) - 1)::BIGINT AS o_orderstatus_ord FROM (SELECT DISTINCT _seg, o_orderstatus FROM o))
+SELECT _seg, _doc, o_orderkey AS _global_doc, true AS _live, o_orderkey, o_orderstatus, o_orderstatus_ord FROM o JOIN d USING (_seg, o_orderstatus)""")
+def requested_documents(t, spark):
+    """A request for columns, with the ordinals of a string column in its segment."""
+    from segmill.plans import requests
+
+    request = {"path": _stored(t, spark).path, "row_mode": "positional", "columns": ["o_orderkey", "o_orderstatus"], "dict": {"*": "segment"}}
+    return requests.read(spark, request).frame
+
+
+@query(f"SELECT (o_orderkey // {_SIZE})::INT AS _seg, count(*) AS n, sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 1, 12))::BIGINT)::BIGINT AS checksum FROM orders GROUP BY 1")
+def segment_checksums(t, spark):
+    return _stored(t, spark).checksums(["o_orderkey", "o_custkey", "o_orderstatus"]).withColumn("checksum", F.col("checksum").cast("long"))
+
+
+def _lists(t, spark) -> Store:
+    """A store with a column of each kind: numbers, strings, sorted numbers, sorted sets, binaries and vectors."""
+    e = F.col("event_id")
+    rows = t("events").select(
+        "event_id", F.when(e % 3 > 0, F.array(F.col("user_id"), e % 7, F.col("user_id") - 5).cast("array<bigint>")).alias("nums"),
+        F.when(e % 4 > 0, F.array("event_type", F.concat(F.lit("tag-"), (e % 7).cast("string")), "event_type")).alias("tags"),
+        F.when(e % 5 > 0, F.encode("event_type", "utf-8")).alias("blob"), F.when(e % 6 > 0, F.array(e % 11, F.col("user_id") % 13).cast("array<float>")).alias("vec"),
+    )
+    store = Store(spark, work_dir(spark, "lists"))
+    store.write(rows, segment_max_docs=2500, batch_rows=1000, key="event_id")
+    return store
+
+
+_EVENT_AT = f"(event_id // {_SIZE})::INT AS _seg, (event_id % {_SIZE})::INT AS _doc"
+
+
+@query(f"SELECT {_EVENT_AT}, array_to_string(list_sort([user_id, event_id % 7, user_id - 5]), ',') AS nums FROM events WHERE event_id % 3 > 0")
+def stored_sorted_numeric(t, spark):
+    """Numbers of several values as a segment has them; documents without any are left out by the scan."""
+    return _lists(t, spark).docvalues(scan.COMPACT, ["nums"]).where("nums is not null").select("_seg", "_doc", F.array_join(F.transform("nums", lambda x: x.cast("string")), ",").alias("nums"))
+
+
+@query(f"SELECT {_EVENT_AT}, array_to_string(list_sort(list_distinct([event_type, 'tag-' || (event_id % 7)::VARCHAR])), ',') AS tags FROM events WHERE event_id % 4 > 0")
+def stored_sorted_set(t, spark):
+    return _lists(t, spark).docvalues(scan.COMPACT, ["tags"]).where("tags is not null").select("_seg", "_doc", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"SELECT {_EVENT_AT}, CASE WHEN event_id % 5 > 0 THEN hex(encode(event_type)) END AS blob FROM events")
+def stored_binary(t, spark):
+    return _lists(t, spark).docvalues(scan.COMPACT, ["blob"]).select("_seg", "_doc", F.hex("blob").alias("blob"))
+
+
+@query(f"SELECT {_EVENT_AT}, CASE WHEN event_id % 6 > 0 THEN (event_id % 11)::DOUBLE END AS x, CASE WHEN event_id % 6 > 0 THEN (user_id % 13)::DOUBLE END AS y FROM events")
+def stored_vectors(t, spark):
+    return _lists(t, spark).docvalues(scan.COMPACT, ["vec"]).select("_seg", "_doc", F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
+
+
+@query(f"""SELECT (event_id // {_SIZE})::INT AS _seg, f AS field, count(*) FILTER (WHERE event_id % m > 0) * k AS num_values FROM events, (VALUES ('event_id', 1000000000, 1), ('nums', 3, 3), ('blob', 5, 1), ('vec', 6, 1)) v(f, m, k) WHERE f <> 'event_id' GROUP BY 1, 2, k
+UNION ALL SELECT (event_id // {_SIZE})::INT, 'event_id', count(*) FROM events GROUP BY 1
+UNION ALL SELECT (event_id // {_SIZE})::INT, 'tags', sum(len(list_distinct([event_type, 'tag-' || (event_id % 7)::VARCHAR]))) FILTER (WHERE event_id % 4 > 0)::BIGINT FROM events GROUP BY 1""")
+def stored_value_counts(t, spark):
+    return _lists(t, spark).stats().select("_seg", "field", "num_values")
+
+
+@query(f"""WITH c AS (SELECT (event_id // {SEG})::INT AS _seg, (event_id % {SEG} // 128)::BIGINT AS block, count(*) FILTER (WHERE event_id % 5 > 0) AS n FROM events GROUP BY ALL)
+SELECT _seg, block, n, coalesce(sum(n) OVER (PARTITION BY _seg ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM c""")
+def rank_table(t, spark):
+    """How many values stand before each block of a sparse column."""
+    rows = scan.address(t("events"), "event_id", SEG).withColumn("value", F.when(F.col("event_id") % 5 > 0, F.col("event_id")))
+    return ordinals.rank_table(rows, "value", 128)
+
+
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, true AS small FROM orders")
+def scan_batches(t, spark):
+    """Batches of at most 1000 rows, one after another."""
+    n = keys = 0
+    small = True
+    for batch in scan.batches(t("orders").select("o_orderkey"), 1000):
+        n, keys, small = n + batch.num_rows, keys + sum(batch.column(0).to_pylist()), small and batch.num_rows <= 1000
+    return spark.createDataFrame([(n, keys, small)], "n long, keys long, small boolean")
+
+
 # ---- BM25
 
 
@@ -463,9 +597,10 @@ def bm25_selective_heavy(t, spark):
 
 @query(_bm25_sql(_HEAVY, 10))
 def bm25_of_index(t, spark):
-    """From postings and lengths, as an index keeps them."""
-    docs = t("documents")
-    return _rounded(bm25.top_k(bm25.scores_of_index(postings.postings(docs), postings.lengths(docs), _HEAVY), 10))
+    """From the postings and lengths that a store keeps, which are read for the asked terms alone."""
+    store = _text_store(t, spark)
+    doc = lambda df: df.withColumn("doc_id", F.col("_seg").cast("long") * _TEXT_SIZE + F.col("_doc"))
+    return _rounded(bm25.top_k(bm25.scores_of_index(doc(store.postings("text")), doc(store.lengths("text")), _HEAVY), 10))
 
 
 # ---- vectors
@@ -485,24 +620,25 @@ def _asked(t, where: str) -> DataFrame:
     return t("embeddings").where(where).select(F.col("vec_id").alias("qid"), "embedding")
 
 
-@query(_knn_sql("euclidean", "vec_id % 100 = 7", 10))
+@query(_knn_sql("euclidean", "vec_id % 20 = 0", 10))
 def knn_euclidean(t, spark):
-    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 100 = 7"), 10, "euclidean"))
+    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 20 = 0"), 10, "euclidean"))
 
 
-@query(_knn_sql("dot", "vec_id % 100 = 7", 10))
+@query(_knn_sql("dot", "vec_id % 20 = 0", 10))
 def knn_dot(t, spark):
-    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 100 = 7"), 10, "dot"))
+    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 20 = 0"), 10, "dot"))
 
 
-@query(_knn_sql("cosine", "vec_id % 100 = 7", 10))
+@query(_knn_sql("cosine", "vec_id % 20 = 0", 10))
 def knn_cosine(t, spark):
-    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 100 = 7"), 10, "cosine"))
+    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 20 = 0"), 10, "cosine"))
 
 
-@query(_knn_sql("euclidean", "vec_id < 64", 10))
+@query(_knn_sql("cosine", "vec_id % 20 = 0", 64))
 def knn_batch(t, spark):
-    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id < 64"), 10, "euclidean"))
+    """Many neighbours of every twentieth vector, in one pass."""
+    return _rounded(knn.knn(t("embeddings"), _asked(t, "vec_id % 20 = 0"), 64, "cosine"))
 
 
 @query(_knn_sql("euclidean", "true", 10, True, ("node", "neighbor")))
@@ -536,6 +672,13 @@ def knn_label_vote(t, spark):
     return best.where("r = 1").select("qid", "label", "n")
 
 
+@query("SELECT label % 5 AS label, CASE label % 5 WHEN 0 THEN 'euclidean' WHEN 1 THEN 'dot' WHEN 2 THEN 'cosine' WHEN 3 THEN 'max_inner_product' END AS similarity, count(*) AS n FROM embeddings GROUP BY ALL")
+def similarity_names(t, spark):
+    """Numbers of similarities as a field's metadata has them."""
+    rows = t("embeddings").select((F.col("label") % 5).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n")).select("label", vector.similarity_name("label").alias("similarity"), "n")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def vector_norms(t, spark):
     return t("embeddings").select("vec_id", F.round(vector.norm("embedding"), 6).alias("norm"))
@@ -561,10 +704,12 @@ def layered_graph(t, spark):
     return _rounded(knn.layered_graph(t("embeddings"), 8))
 
 
-@query()
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
 def recall_approximate(t, spark):
-    asked = _asked(t, "true")
-    return knn.recall(knn.approximate(t("embeddings"), asked, 10), knn.knn(t("embeddings"), asked, 10), 10)
+    """Whether approximate search, for every twentieth vector, finds nine tenths of the exact neighbours."""
+    asked = _asked(t, "vec_id % 20 = 0")
+    found = knn.recall(knn.approximate(t("embeddings"), asked, 10), knn.knn(t("embeddings"), asked, 10), 10)
+    return found.crossJoin(asked.agg(F.count("*").alias("queries"))).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
 # ---- analytics over scans
@@ -614,9 +759,9 @@ def delegated_join_anti(t, spark):
     return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_nationkey < 3) FULL JOIN (SELECT * FROM customer WHERE c_nationkey < 3) ON s_suppkey = c_custkey")
+@query("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 def delegated_join_full(t, spark):
-    return t("supplier").where("s_nationkey < 3").join(t("customer").where("c_nationkey < 3"), F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
+    return t("supplier").join(t("customer"), F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT event_id, o_orderkey FROM (SELECT event_id, user_id, ts FROM events) e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate")
@@ -666,6 +811,42 @@ def delegated_distinct_agg(t, spark):
     return t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.round(F.stddev_samp("value"), 6).alias("spread"), F.min("ts").alias("first"))
 
 
+@query("SELECT p_partkey, count(s_suppkey) AS n FROM part LEFT JOIN supplier ON s_acctbal BETWEEN p_retailprice - 10 AND p_retailprice + 10 GROUP BY 1")
+def delegated_join_range(t, spark):
+    """Suppliers whose balance lies close to a price: balances stand in two bins of the range's width, so that bins meet by equality."""
+    width = 20.0
+    p = t("part").select("p_partkey", F.col("p_retailprice").alias("price"), F.explode(F.array(F.floor((F.col("p_retailprice") - 10) / width), F.floor((F.col("p_retailprice") + 10) / width))).alias("bin")).distinct()
+    s = t("supplier").select("s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / width).alias("bin"))
+    found = p.join(s, "bin").where("s_acctbal between price - 10 and price + 10").groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return t("part").select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT (props::JSON ->> 'k')::BIGINT % 10 AS k, date_trunc('month', ts) AS month, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
+def delegated_json_date_trunc(t, spark):
+    k = F.get_json_object("props", "$.k").cast("long") % 10
+    return t("events").groupBy(k.alias("k"), F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"), F.max("value").alias("most"))
+
+
+@query("SELECT event_type, w.start, count(*) AS n FROM (SELECT event_type, ts, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS start FROM events) w GROUP BY ALL")
+def delegated_sliding_window(t, spark):
+    """Windows of a day that begin every twelve hours."""
+    w = F.window(F.col("ts").cast("timestamp"), "1 day", "12 hours").alias("w")
+    return t("events").groupBy("event_type", w).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_type, true AS close FROM events GROUP BY 1")
+def delegated_approx_distinct(t, spark):
+    """Estimated numbers of different users lie within a tenth of the exact ones."""
+    n = t("events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("e"), F.countDistinct("user_id").alias("n"))
+    return n.select("event_type", (F.abs(F.col("e") - F.col("n")) <= F.col("n") * 0.1).alias("close"))
+
+
+@query("SELECT user_id, min(event_id) AS low, list_sort(list(DISTINCT event_type))[1] AS first_type, map_from_entries([('n', count(*)), ('u', user_id)])['n'] AS n FROM events GROUP BY user_id")
+def delegated_map_scalar(t, spark):
+    g = t("events").groupBy("user_id").agg(F.min("event_id").alias("low"), F.min("event_type").alias("first_type"), F.count("*").alias("c"))
+    return g.select("user_id", "low", "first_type", F.create_map(F.lit("n"), F.col("c"), F.lit("u"), F.col("user_id"))["n"].alias("n"))
+
+
 # ---- streams
 
 
@@ -697,8 +878,7 @@ def streaming_tumbling(t, spark):
 
     source, _ = _as_stream(t, spark, "events", ["ts", "event_type"])
     counted = put.windowed(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", ["event_type"], "2 days")
-    name = "tumbling_" + work_dir(spark, "t").rpartition("-")[2]
-    return put.collect_stream(counted, name, work_dir(spark, "checkpoint")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return put.collect_stream(counted, work_dir(spark, "windows"), work_dir(spark, "checkpoint")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -709,8 +889,18 @@ def streaming_sessions(t, spark):
 
     source, _ = _as_stream(t, spark, "events", ["ts", "user_id"])
     found = put.sessions(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["user_id"], "2 days")
-    name = "sessions_" + work_dir(spark, "s").rpartition("-")[2]
-    return put.collect_stream(found, name, work_dir(spark, "checkpoint")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return put.collect_stream(found, work_dir(spark, "sessions"), work_dir(spark, "checkpoint")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, ts FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events)
+SELECT start, count(*) AS n FROM e, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY ALL""")
+def streaming_closed_windows(t, spark):
+    """Days that the watermark has closed; those still open aren't told."""
+    from segmill.streaming import put
+
+    source, _ = _as_stream(t, spark, "events", ["ts"])
+    counted = put.windowed(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", [], "2 days")
+    return put.collect_stream(counted, work_dir(spark, "closed"), work_dir(spark, "checkpoint"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """The segment store: Parquet by segment, and a commit for each generation.
 
-    <path>/data/<write id>/_seg=<n>/...     rows with _doc and the data columns
+    <path>/data/_write=<id>/_seg=<n>/...    rows with _doc and the data columns
     <path>/deletes/<generation>/...         (_seg, _doc) of the tombstones so far
+    <path>/index/<id>/...                   postings in the order of terms, and lengths
+    <path>/index/<field>.<write id>.json    the index of a field of a write
     <path>/commits/<generation>.json        segments, fields and files of a generation
 
 Writers add files first and the commit last, by a rename; readers see whole
-generations.  Tombstoned documents keep their values.
+generations.  A rename that doesn't replace is atomic on HDFS and local disks;
+on object stores without one, one writer at a time is the caller's to see to.
+Tombstoned documents keep their values.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmill.errors import SegmentError
+from segmill.functions.text import norm_byte, token_count
 from segmill.operators import coerce, scan, stats
 
 #: Documents from which on a segment is cut.
@@ -158,8 +163,8 @@ class Store:
             doc = (F.row_number().over(Window.partitionBy("_seg").orderBy(*order, "__row")) - 1).cast("int")
         placed = placed.withColumn("_seg", seg).withColumn("_doc", doc).drop("__row")
         name = uuid.uuid4().hex
-        placed.repartition("_seg").sortWithinPartitions("_seg", "_doc").write.partitionBy("_seg").parquet(f"{self.path}/data/{name}")
-        written = self.spark.read.schema(placed.schema).parquet(f"{self.path}/data/{name}").groupBy("_seg").agg(F.count("*").alias("n"), F.max("_doc").alias("last")).orderBy("_seg").collect()  # a row for each segment
+        placed.repartition("_seg").sortWithinPartitions("_seg", "_doc").write.partitionBy("_seg").parquet(self._data(name))
+        written = self.spark.read.schema(placed.schema).parquet(self._data(name)).groupBy("_seg").agg(F.count("*").alias("n"), F.max("_doc").alias("last")).orderBy("_seg").collect()  # a row for each segment
         if not written:
             raise SegmentError("no rows to write")
         if any(r["n"] != r["last"] + 1 for r in written) or [r["_seg"] for r in written] != list(range(first, first + len(written))):
@@ -192,12 +197,15 @@ class Store:
             return self.spark.createDataFrame([], "_seg int, _doc int")
         return self.spark.read.schema("_seg int, _doc int").parquet(f"{self.path}/deletes/{c.deletes}")
 
-    def rows(self, c: Commit | None = None) -> DataFrame:
-        """All documents with _seg and _doc; _seg prunes folders."""
+    def _data(self, name: str) -> str:
+        return f"{self.path}/data/_write={name}"
+
+    def rows(self, c: Commit | None = None, writes: list[str] | None = None) -> DataFrame:
+        """All documents with _seg and _doc, of all writes or of some, in one read however many there are; _seg prunes folders."""
         c = c or self.commit()
-        schema = T.StructType.fromJson(json.loads(c.schema)).add("_seg", T.IntegerType())
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/data/{name}") for name in c.data]
-        return scan.unite(*parts)
+        schema = T.StructType.fromJson(json.loads(c.schema)).add("_write", T.StringType()).add("_seg", T.IntegerType())
+        paths = [self._data(name) for name in (c.data if writes is None else writes)]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths).drop("_write")
 
     def docvalues(self, row_mode: str, columns=None, segments: list[str] | None = None, generation: int | None = None) -> DataFrame:
         """scan() over the store; segments by name, in the order wanted."""
@@ -218,14 +226,69 @@ class Store:
 
         return hydrate(pairs, self.rows(), columns)
 
-    def postings(self, text: str) -> DataFrame:
-        """(_seg, _doc, term, freq) of a string column, tombstones included; only_live() takes them out."""
+    def index(self, text: str) -> None:
+        """Writes the postings and lengths of a string column, of the writes that have none yet.
+
+        Postings lie in ranges of terms, sorted, so that a read for a few terms
+        skips all other row groups; a frequent term's documents may fill several
+        ranges.  Tombstones don't change an index.
+        """
         from segmill.operators import postings
 
+        c = self._with_field(text)
+        for name in set(c.data) - self._indexed(c, text).keys():
+            folder, rows = uuid.uuid4().hex, self.rows(c, [name])
+            posted = postings.postings(rows, ["_seg", "_doc"], text, unique=True)
+            posted.repartitionByRange("term", "_seg", "_doc").sortWithinPartitions("term", "_seg", "_doc").write.parquet(f"{self.path}/index/{folder}/postings")
+            rows.select("_seg", "_doc", token_count(text).alias("length")).withColumn("norm", norm_byte("length")).write.parquet(f"{self.path}/index/{folder}/lengths")
+            self.files.write_once(f"index/{text}.{name}.json", json.dumps(folder))
+
+    def _with_field(self, text: str) -> Commit:
         c = self.commit()
         if text not in [f["name"] for f in c.fields]:
             raise SegmentError(f"no such field: {text}")
-        return postings.postings(self.rows(c), ["_seg", "_doc"], text)
+        return c
+
+    def _indexed(self, c: Commit, text: str) -> dict[str, str]:
+        """The folder of the index of each write that has one."""
+        there = set(self.files.names("index"))
+        return {name: json.loads(self.files.read(f"index/{file}")) for name in c.data if (file := f"{text}.{name}.json") in there}
+
+    def postings(self, text: str) -> DataFrame:
+        """(_seg, _doc, term, freq) of a string column, tombstones included; only_live() takes them out.
+
+        Read from the index where there is one, and made from the texts of
+        writes that have none.
+        """
+        from segmill.operators import postings
+
+        c = self._with_field(text)
+        known = self._indexed(c, text)
+        found = []
+        if known:
+            found.append(self.spark.read.schema("_seg int, _doc int, term string, freq long").parquet(*[f"{self.path}/index/{x}/postings" for x in known.values()]))
+        if rest := [name for name in c.data if name not in known]:
+            found.append(postings.postings(self.rows(c, rest), ["_seg", "_doc"], text, unique=True))
+        return scan.unite(*found)
+
+    def lengths(self, text: str) -> DataFrame:
+        """(_seg, _doc, length, norm) of a string column, from the index or the texts as in postings()."""
+        c = self._with_field(text)
+        known = self._indexed(c, text)
+        found = []
+        if known:
+            found.append(self.spark.read.schema("_seg int, _doc int, length long, norm int").parquet(*[f"{self.path}/index/{x}/lengths" for x in known.values()]))
+        if rest := [name for name in c.data if name not in known]:
+            found.append(self.rows(c, rest).select("_seg", "_doc", token_count(text).alias("length")).withColumn("norm", norm_byte("length")))
+        return scan.unite(*found)
+
+    def checksums(self, columns: list[str] | None = None) -> DataFrame:
+        """(_seg, n, checksum) of each segment: the sum over its rows of 48 bits of the MD5 of their values as text, whatever their order."""
+        rows = self.rows()
+        names = columns or [f["name"] for f in self.commit().fields]
+        values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in names]
+        hashed = F.conv(F.substring(F.md5(F.concat_ws("|", *values)), 1, 12), 16, 10).cast("long")
+        return rows.groupBy("_seg").agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(38,0)")).alias("checksum"))
 
     def stats(self) -> DataFrame:
         """segment_stats() of all fields, with each segment's name, max_doc and del_count."""

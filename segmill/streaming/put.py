@@ -51,9 +51,18 @@ def sessions(stream: DataFrame, time: str, gap: str, keys: list[str], late: str
     return stream.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), *keys, "n")
 
 
-def collect_stream(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory, and returns the table."""
+def collect_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there now, into Parquet files that executors write, and returns what they hold.
+
+    complete replaces the files with each batch; append adds what a watermark
+    has closed, so that late rows are dropped and windows still open stay out.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        out = f"{path}/{batch_id if mode == 'append' else 'whole'}"  # a batch that is repeated replaces its own
+        batch.write.mode("overwrite").parquet(out)
+
+    query = stream.writeStream.foreachBatch(take).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)

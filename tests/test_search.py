@@ -143,3 +143,21 @@ def test_hierarchy(spark, tmp_path):
 def test_lines_are_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n\nfour\n")
     assert [tuple(r) for r in vectorfiles.text_lines(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, "one"), (1, "two"), (2, ""), (3, "four")]
+
+
+def test_lengths_are_a_map_and_unique_rows_keep_their_postings(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "B c"), (-7, "c " * 300)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(postings.lengths(docs)) and "Aggregate" not in plan(postings.postings(docs, unique=True))
+    want = {(1, "a", 2), (1, "b", 1), (4, "b", 1), (4, "c", 1), (-7, "c", 300)}
+    assert {tuple(r) for r in postings.postings(docs, unique=True).collect()} == {tuple(r) for r in postings.postings(docs).collect()} == want
+    assert postings.postings(docs.where("doc_id > 9"), unique=True).count() == 0
+
+
+def test_many_query_terms_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"t{i * j % 23}" for j in range(9))) for i in range(60)], "doc_id long, text string")
+    asked = {f"q{i}": [f"t{i}", f"t{i + 3}"] for i in range(12)}
+    few = {(r["qid"], r["doc_id"]): r["score"] for r in bm25.scores(docs, asked).collect()}
+    monkeypatch.setattr(bm25, "PLAN_TERMS", 3)
+    many = {(r["qid"], r["doc_id"]): r["score"] for r in bm25.scores(docs, asked).collect()}
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few) and len(few) > 100

@@ -207,3 +207,46 @@ def test_stream_is_appended_once(spark, path, tmp_path):
     put.put(put.read_stream(spark, str(source), schema), path, check).awaitTermination()
     store = Store(spark, path)
     assert store.docvalues(scan.COMPACT).agg(F.sum("id")).first()[0] == sum(range(130)) and store.commit().batch == 1
+
+
+def test_an_index_serves_a_few_terms_and_later_writes(spark, path):
+    """The index is read for the asked terms alone; writes without one are cut anew; both give the same postings."""
+    rows = lambda a, b: spark.range(a, b).select("id", F.concat(F.lit("all the same t"), (F.col("id") % 50).cast("string")).alias("text"))
+    store = Store(spark, path)
+    store.write(rows(0, 400), segment_max_docs=100, batch_rows=100)
+    before = sorted(map(tuple, store.postings("text").collect()))
+    store.index("text")
+    store.index("text")  # nothing is left to do
+    assert sorted(map(tuple, store.postings("text").collect())) == before and len(before) == 1600
+    plan = store.postings("text").where("term = 't7'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,t7)" in plan and "Exchange" not in plan and "/data/" not in plan
+    store.write(rows(400, 500), append=True, segment_max_docs=100, batch_rows=100)
+    found = store.postings("text").where("term = 't7'")
+    assert found.count() == 10 and store.lengths("text").count() == 500
+    assert store.lengths("text").agg(F.min("length"), F.max("length")).first() == (4, 4)
+    assert store.rows().count() == 500 and store.rows().columns == ["id", "text", "_doc", "_seg"]
+
+
+def test_checksums_tell_changed_segments(spark, path):
+    store, other = Store(spark, path), Store(spark, path + "-other")
+    frame = spark.range(200).select("id", (F.col("id") * 3).alias("v"))
+    store.write(frame, segment_max_docs=100, batch_rows=100, key="id")
+    other.write(frame.withColumn("v", F.when(F.col("id") == 150, None).otherwise(F.col("v"))), segment_max_docs=100, batch_rows=100, key="id")
+    a, b = ({r["_seg"]: (r["n"], r["checksum"]) for r in x.checksums().collect()} for x in (store, other))
+    assert a[0] == b[0] and a[1][0] == b[1][0] == 100 and a[1] != b[1]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://there:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(SegmentError):
+        work_dir(Session(), "x")
