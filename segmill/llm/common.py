@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Seconds between two calls of the collector of the driver's memory.
+FREE_SECONDS = 20
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
@@ -46,6 +51,8 @@ class Scratch:
     is left goes when the session's process ends.
     """
 
+    freed = 0.0
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/segmill-{uuid.uuid4().hex}"
@@ -67,9 +74,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
-        """Has Spark's cleaner drop the shuffle files of what is already written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Has Spark's cleaner drop what the driver has let go of, once in a while; shuffle files of a write go by themselves."""
+        if time.monotonic() - Scratch.freed > FREE_SECONDS:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            Scratch.freed = time.monotonic()
 
     def drop(self, *names: str) -> None:
         for name in names:
