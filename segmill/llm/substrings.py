@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ MIN_WORDS = 50
 #: Symbols of so many words or more are final in the first step; those of fewer words aren't looked for.
 TARGET = 8
 ROUNDS = 12
+#: Rounds over blocks, at most: the symbols of eight rounds have MIN_WORDS words, and what is left is looked up by windows.
+LEVELS = 8
 #: A run is cut into symbols of at most so many repetitions.
 RUN = 8
 
@@ -207,22 +210,32 @@ def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LEVEL = "name long, __id long, at long, size int, fresh boolean, first_id long, first_at long"
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists one after the other, and where each list's begin."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), at - at[0]
+
+
 def blocks(parts: DataFrame) -> DataFrame:
     """LEVEL: the words between two cuts of a stretch, named by a hash of them."""
 
     def run(batches):
         for batch in batches:
-            for key, start, hashes, cuts in zip(*(batch.column(i) for i in range(4))):
-                c = cuts.values.to_numpy()
-                if len(c) < 2:
-                    continue
-                sums, down = _sums(hashes.values.to_numpy())
-                size = np.diff(c)
-                name = textscan.mix((sums[c[1:]] - sums[c[:-1]]) * down[c[:-1]] + size.astype(np.uint64) * _C)
-                yield _level(name, np.full(len(size), key.as_py()), c[:-1] + start.as_py(), size, True)
+            hashes, base = _lists(batch.column(2))
+            cuts, of = _lists(batch.column(3))
+            if len(cuts) < 2:
+                continue
+            row = np.repeat(np.arange(batch.num_rows), np.diff(of))
+            sums, down = _sums(hashes)
+            at = cuts + base[row]
+            inside = np.flatnonzero(row[1:] == row[:-1])
+            a, b = at[inside], at[inside + 1]
+            name = textscan.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _C)
+            key, start = (batch.column(i).to_numpy()[row[inside]] for i in (0, 1))
+            yield _level(name, key, cuts[inside] + start, b - a, True)
         release()
 
-    return bounded(parts).mapInArrow(run, LEVEL)
+    return bounded(parts.select("__id", "start", "hashes", "cuts")).mapInArrow(run, LEVEL)
 
 
 def _level(name, key, at, size, fresh, first_id=None, first_at=None) -> pa.RecordBatch:
@@ -231,41 +244,45 @@ def _level(name, key, at, size, fresh, first_id=None, first_at=None) -> pa.Recor
     return pa.RecordBatch.from_arrays([*columns, none if first_id is None else pa.array(first_id), none if first_at is None else pa.array(first_at)], ["name", "__id", "at", "size", "fresh", "first_id", "first_at"])
 
 
-def _step(name, at, size, first_id, first_at, key: int, r: int, n: int):
-    """A round in one document: the (start, words, first_id, first_at) of verified repeats, and the (name, at, size, fresh) of symbols that go on."""
-    touch = np.append(at[:-1] + size[:-1] == at[1:], False)
-    along = touch & np.append((first_id[1:] == first_id[:-1]) & (first_at[1:] - at[1:] == first_at[:-1] - at[:-1]), False)
-    heads = np.flatnonzero(np.append(True, ~along[:-1]))
+def _step(key, at, size, name, first_id, first_at, r: int, n: int):
+    """A round over documents, sorted by key and place.
+
+    Returns the (key, start, words, first_id, first_at) of verified repeats and the (name, key, at, size, fresh) of symbols that go on.
+    """
+    touch = (key[1:] == key[:-1]) & (at[:-1] + size[:-1] == at[1:])
+    along = touch & (first_id[1:] == first_id[:-1]) & (first_at[1:] - at[1:] == first_at[:-1] - at[:-1])
+    heads = np.flatnonzero(np.append(True, ~along))
     words = np.add.reduceat(size, heads)
-    earlier = (first_id[heads] < key) | (first_id[heads] == key) & (first_at[heads] < at[heads])
+    earlier = (first_id[heads] < key[heads]) | (first_id[heads] == key[heads]) & (first_at[heads] < at[heads])
     told = (words >= n) & earlier
-    spans = at[heads][told], words[told], first_id[heads][told], first_at[heads][told]
+    h = heads[told]
+    spans = key[h], at[h], words[told], first_id[h], first_at[h]
     rest = np.flatnonzero(~np.repeat(told, np.diff(np.append(heads, len(name)))))
-    name, at, size = name[rest], at[rest], size[rest]
+    key, at, size, name = key[rest], at[rest], size[rest], name[rest]
     if len(name) < 2:
         return spans, None
-    touch = np.append(at[:-1] + size[:-1] == at[1:], False)
-    fresh, small = np.zeros(len(name), bool), size < n
-    same = touch[:-1] & (name[1:] == name[:-1]) & small[1:]
+    touches = lambda: (key[1:] == key[:-1]) & (at[:-1] + size[:-1] == at[1:])
+    fresh = np.zeros(len(name), bool)
+    same = touches() & (name[1:] == name[:-1]) & (size[1:] < n)
     if same.any():
         heads = np.flatnonzero(np.append(True, ~same))
         nth = np.arange(len(name)) - np.repeat(heads, np.diff(np.append(heads, len(name))))
         kept = np.flatnonzero(nth % RUN == 0)
         times = np.diff(np.append(kept, len(name)))
-        name, at, size, fresh = name[kept], at[kept], size[kept] * times, times > 1
+        key, at, size, name, fresh = key[kept], at[kept], size[kept] * times, name[kept], times > 1
         name[fresh] = _run(name[fresh], times[fresh])
     coin, small = _coin(name, ROUNDS + r), size < n
-    join = np.flatnonzero((at[:-1] + size[:-1] == at[1:]) & small[:-1] & small[1:] & coin[:-1] & ~coin[1:] & ~fresh[:-1] & ~fresh[1:])
+    join = np.flatnonzero(touches() & small[:-1] & small[1:] & coin[:-1] & ~coin[1:] & ~fresh[:-1] & ~fresh[1:])
     name[join] = _pair(name[join], name[join + 1])
     size[join] += size[join + 1]
     fresh[join] = True
     kept = np.ones(len(name), bool)
     kept[join + 1] = False
-    name, at, size, fresh = name[kept], at[kept], size[kept], fresh[kept]
-    touch = np.append(at[:-1] + size[:-1] == at[1:], False)
+    key, at, size, name, fresh = key[kept], at[kept], size[kept], name[kept], fresh[kept]
+    touch = np.concatenate([[False], touches(), [False]])
     # alone or long, and named already: nothing more comes of it
-    more = fresh | (touch | np.append(False, touch[:-1])) & (size < n)
-    return spans, (name[more], at[more], size[more], fresh[more])
+    more = fresh | (touch[1:] | touch[:-1]) & (size < n)
+    return spans, (name[more], key[more], at[more], size[more], fresh[more])
 
 
 def named(level: DataFrame, r: int, n: int) -> DataFrame:
@@ -277,15 +294,16 @@ def named(level: DataFrame, r: int, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, x in zip(batch.column(0), batch.column(1)):
-                at, size, name, first_id, first_at = (c.to_numpy() for c in x.values.flatten())
-                key = key.as_py()
-                spans, rest = _step(name.view(np.uint64), at, size.astype(np.int64), first_id, first_at, key, r, n)
-                if len(spans[0]):
-                    told = _level(np.zeros(len(spans[0]), np.uint64), np.full(len(spans[0]), key), spans[0], spans[1], False, spans[2], spans[3])
-                    yield told.set_column(0, "name", pa.nulls(len(spans[0]), pa.int64()))
-                if rest is not None and len(rest[0]):
-                    yield _level(rest[0], np.full(len(rest[0]), key), *rest[1:])
+            if not batch.num_rows:
+                continue
+            at, size, name, first_id, first_at = (c.to_numpy() for c in batch.column(1).flatten().flatten())
+            key = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+            spans, rest = _step(key, at, size.astype(np.int64), name.view(np.uint64).copy(), first_id, first_at, r, n)
+            if len(spans[0]):
+                told = _level(np.zeros(len(spans[0]), np.uint64), *spans[:3], False, *spans[3:])
+                yield told.set_column(0, "name", pa.nulls(len(spans[0]), pa.int64()))
+            if rest is not None and len(rest[0]):
+                yield _level(*rest)
         release()
 
     return bounded(per).mapInArrow(run, LEVEL)
@@ -298,22 +316,27 @@ def windows(parts: DataFrame, told: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, start, hashes, a, k in zip(*(batch.column(i) for i in range(5))):
-                h, start = hashes.values.to_numpy().view(np.uint64), start.as_py()
-                every = textscan.long_windows(h, n)
-                left = np.ones(len(every), bool)
-                if a.is_valid:
-                    low = a.values.to_numpy() - start
-                    high = np.minimum(low + k.values.to_numpy() - n + 1, len(every))
-                    low = np.maximum(low, 0)
-                    good = low < high
-                    steps = np.zeros(len(every) + 1, np.int64)
-                    np.add.at(steps, low[good], 1)
-                    np.add.at(steps, high[good], -1)
-                    left = np.cumsum(steps[:-1]) == 0
-                at = np.flatnonzero(left)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(np.full(len(at), key.as_py())), pa.array(at + start)], ["h", "__id", "pos"])
+            hashes, base = _lists(batch.column(2))
+            every = textscan.long_windows(hashes.view(np.uint64), n)
+            size = np.diff(base)
+            row = np.repeat(np.arange(batch.num_rows), size)[: len(every)]
+            left = np.arange(len(every)) - base[row] <= size[row] - n
+            start = batch.column(1).to_numpy()
+            a, of = _lists(pc.fill_null(batch.column(3), []))
+            if len(a):
+                own = np.repeat(np.arange(batch.num_rows), np.diff(of))
+                k = pc.fill_null(batch.column(4), []).flatten().to_numpy()
+                low = np.maximum(a - start[own], 0)
+                high = np.minimum(a - start[own] + k, size[own]) - n + 1
+                good = low < high
+                steps = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(steps, (low + base[own])[good], 1)
+                np.add.at(steps, (high + base[own])[good], -1)
+                left &= np.cumsum(steps)[: len(every)] == 0
+            at = np.flatnonzero(left)
+            if len(at):
+                own = row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), batch.column(0).take(pa.array(own)), pa.array(at - base[own] + start[own])], ["h", "__id", "pos"])
         release()
 
     return bounded(both).mapInArrow(run, "h long, __id long, pos long")
@@ -334,7 +357,7 @@ def _repeats(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
         told = here if told is None else told.unionByName(here)
         level = made.where("name is not null")
         r += 1
-        if level.where("fresh").isEmpty():
+        if r == LEVELS or level.where("fresh").isEmpty():
             break
     told = scratch.write(told, "told")
     scratch.drop("level", *[f"round{i}" for i in range(r)])
