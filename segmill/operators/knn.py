@@ -216,36 +216,119 @@ def layered_graph(vectors: DataFrame, m: int = 16, metric: str = "euclidean", ke
     return out
 
 
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", tables: int = 8, bucket: float = 2.0, seed: int = 5) -> DataFrame:
-    """(qid, rank, id, score): nearest by euclidean distance among the vectors that share a bucket with the query.
+#: Vectors from which cells are learnt, and queries by which the number of cells to look at is measured, at most.
+LEARN_ROWS, TRIED = 20_000, 200
+#: Share of the exact neighbours of those queries that the cells looked at must hold.
+COVERED = 0.95
+#: Vectors, and queries, of a cell that are compared at once.
+CELL_ROWS = 4096
 
-    Buckets come from random projections; all tables' buckets are compared by
-    one join on the bucket, and candidates are reranked exactly.
+
+def _typed(frame: DataFrame, name: str, column: str, dims: int) -> DataFrame:
+    return frame.where(F.size(column) == dims).select(F.col(name).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+
+
+def _some(rows: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``most`` of n rows (id, v), those of the least hashes, on the driver."""
+    share = min(1.0, most / max(1, n))
+    table = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
+    return table["id"].to_numpy(), matrix(table["v"].combine_chunks()) if table.num_rows else np.zeros((0, 0))
+
+
+def centroids(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Cells of a bounded sample by Lloyd's rounds; an empty cell keeps its place."""
+    c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = _order(x, c, 1)[:, 0]
+        sums, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
+        np.add.at(sums, own, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def _order(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The nearest cells of each vector, from the nearest on."""
+    d = (c * c).sum(1)[None, :] - 2 * x @ c.T
+    if probes < d.shape[1]:
+        near = np.argpartition(d, probes - 1, axis=1)[:, :probes]
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+    return np.argsort(d, axis=1, kind="stable")
+
+
+def _celled(rows: DataFrame, c: np.ndarray, probes: int) -> DataFrame:
+    """(cell, part, ids, flat): rows (id, v) packed by each of their nearest cells."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = _order(matrix(batch.column(1)), c, probes)
+                at = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(near.ravel().astype(np.int64)))], ["id", "v", "cells"])
+
+    placed = rows.mapInArrow(run, "id long, v array<double>, cells array<long>").select("id", "v", F.explode("cells").alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts"))
+    placed = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return placed.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("m")).select("cell", F.col("m.id").alias("ids"), F.flatten("m.v").alias("flat"))  # about CELL_ROWS
+
+
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", column: str = "embedding", cells: int | None = None, probes: int | None = None, no_self: bool = False) -> DataFrame:
+    """(qid, rank, id, score): the nearest vectors among those of the cells that lie closest to the query.
+
+    Cells are learnt from LEARN_ROWS vectors; every vector is in the nearest.
+    How many cells a query looks at is measured: for TRIED queries, whose exact
+    neighbours are searched for, so many that COVERED of the neighbours lie in
+    them.  Cells are compared in blocks by matrix products.  Ties and odd
+    vectors as in knn().
     """
-    _checked("euclidean", k)
+    _checked(metric, k)
     first = queries.where(F.col(column).isNotNull()).select(F.size(column)).first()
     if first is None:
         return vectors.sparkSession.createDataFrame([], "qid long, rank long, id long, score double")
-    rng = np.random.default_rng(seed)
-    planes, shift = rng.standard_normal((tables, first[0])), rng.random(tables)
-
-    def hashed(frame: DataFrame, name: str) -> DataFrame:
-        rows = frame.where(F.size(column) == first[0]).select(F.col(name).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
-
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    h = np.floor(matrix(batch.column(1)) @ planes.T / bucket + shift).astype(np.int64)
-                    at = pa.array(np.arange(0, h.size + 1, tables, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(h.ravel()))], ["id", "v", "h"])
-
-        return rows.mapInArrow(run, "id long, v array<double>, h array<long>").select("id", "v", F.posexplode("h").alias("t", "h"))
+    own, asked = _typed(vectors, key, column, first[0]), _typed(queries, "qid", column, first[0])
+    n = own.count()
+    _, sample = _some(own, n, LEARN_ROWS)
+    if not len(sample):
+        return vectors.sparkSession.createDataFrame([], "qid long, rank long, id long, score double")
+    c = centroids(sample, cells or max(1, round(n**0.5)))
+    if probes is None:
+        probes = _enough(vectors, own, asked, c, k, metric, key, column, no_self)
+    near = _celled(asked, c, min(probes, len(c))).select("cell", F.col("ids").alias("qids"), F.col("flat").alias("q"))
+    met = _celled(own, c, 1).join(near, "cell").select("qids", "q", "ids", "flat")
 
-    q = hashed(queries, "qid").withColumnsRenamed({"id": "qid", "v": "q"})
-    met = hashed(vectors, key).join(q, ["t", "h"]).dropDuplicates(["qid", "id"])
-    from segmill.functions.vector import euclidean
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qids, q, ids, x = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(4))
+                qm, xm = q.reshape(len(qids), -1), x.reshape(len(ids), -1)
+                for i in range(0, len(qids), 256):
+                    out = _batch(_best(ids, xm, qids[i : i + 256], qm[i : i + 256], metric, k, no_self))
+                    if out is not None:
+                        yield out
 
-    return _ranked(met.select("qid", "id", F.round(euclidean("v", "q"), PLACES).alias("score")), k)
+    return _ranked(met.mapInArrow(run, _FOUND), k)
+
+
+def _enough(vectors: DataFrame, own: DataFrame, asked: DataFrame, c: np.ndarray, k: int, metric: str, key: str, column: str, no_self: bool) -> int:
+    """The number of cells that hold COVERED of the exact neighbours of some queries."""
+    qids, q = _some(asked, asked.count(), TRIED)
+    if not len(qids):
+        return len(c)
+    tried = asked.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(qids, q)], f"qid long, `{column}` array<double>")
+    exact = knn(vectors, tried, k, metric, key, column, no_self).select("qid", "id")  # TRIED times k rows
+    table = exact.join(own, "id").select("qid", "v").toArrow()
+    if not table.num_rows:
+        return 1
+    at = dict(zip(qids.tolist(), np.argsort(_order(q, c, len(c)), axis=1)))  # the rank of each cell for each query
+    cell = _order(matrix(table["v"].combine_chunks()), c, 1)[:, 0]
+    ranks = np.sort([at[i][x] for i, x in zip(table["qid"].to_pylist(), cell.tolist())])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(COVERED * len(ranks))) - 1)]) + 1
+
+
+def approximate_graph(vectors: DataFrame, degree: int = 32, metric: str = "euclidean", key: str = "vec_id", column: str = "embedding", **how) -> DataFrame:
+    """(node, rank, neighbor, score) as knn_graph(), from approximate(): the work of a vector grows with its cells, not with all vectors."""
+    every = vectors.select(F.col(key).alias("qid"), column)
+    found = approximate(vectors, every, degree, metric, key, column, no_self=True, **how)
+    return found.select(F.col("qid").alias("node"), "rank", F.col("id").alias("neighbor"), "score")
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

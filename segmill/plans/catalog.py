@@ -712,6 +712,14 @@ def recall_approximate(t, spark):
     return found.crossJoin(asked.agg(F.count("*").alias("queries"))).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query("SELECT count(*) AS nodes, true AS enough FROM embeddings")
+def recall_graph(t, spark):
+    """Whether the graph that is built by cells has nine tenths of the exact graph's edges."""
+    rows = t("embeddings")
+    found, exact = (g.select(F.col("node").alias("qid"), F.col("neighbor").alias("id")) for g in (knn.approximate_graph(rows, 10), knn.knn_graph(rows, 10)))
+    return knn.recall(found, exact, 10).crossJoin(rows.agg(F.count("*").alias("nodes"))).select("nodes", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # ---- analytics over scans
 
 
