@@ -46,7 +46,7 @@ REACH = 3
 #: At most so many labelled rows are read to learn stems.
 LABELLED_ROWS = 20_000
 #: A stem must be in so many different toxic texts, and in no more than this share of clean ones.
-STEM_SUPPORT, STEM_CLEAN_SHARE = 8, 0.02
+STEM_SUPPORT, STEM_CLEAN_SHARE = 4, 0.02
 _STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 BASE: dict[str, int] = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
@@ -169,7 +169,8 @@ def score(docs: DataFrame, stems=(), threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_hits, score, toxic) of every row.
 
     Null and empty texts score 0 and aren't toxic.  Repeated rows are scored
-    each for itself, a null doc_id stays null.  Other columns are ignored.
+    each for itself, a null doc_id stays null.  An empty table gives no rows.
+    Other columns are ignored, whatever their names.
     """
     lexicon = Lexicon(stems)
 
@@ -181,7 +182,7 @@ def score(docs: DataFrame, stems=(), threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep(docs: DataFrame, stems=(), threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that aren't toxic, unchanged, with all their columns.  Cases as in score()."""
+    """The rows that aren't toxic, unchanged, with all their columns; null and empty texts stay.  Cases as in score()."""
     lexicon = Lexicon(stems)
 
     @F.arrow_udf("boolean")

@@ -1,4 +1,4 @@
-"""Small tables with the awkward cases: nulls, empty and long texts, repeated rows, clashing extra columns."""
+"""Small tables with the awkward cases: nulls, empty texts and long ones, repeated rows, clashing extra columns."""
 
 import random
 
@@ -16,6 +16,7 @@ def frame(spark, rows):
 
 
 def corpus(seed=1):
+    """Near copies, nulls, empty texts, texts of one word, rows that repeat, a negative id, and a text of 9,000 words."""
     rng = random.Random(seed)
     rows = []
     for i in range(40):
@@ -27,4 +28,5 @@ def corpus(seed=1):
         rows.append((i, " ".join(w)))
     rows += [(70, rows[3][1]), (71, rows[3][1]), (72, None), (73, ""), (74, "  \n "), (75, "one"), (76, "one"), (77, "two words"), (None, rows[5][1]), (None, None)]
     rows += [(78, "Ünïcode ΣΙΓΜΑ \U0001f600 " * 5), (78, "Ünïcode ΣΙΓΜΑ \U0001f600 " * 5)]
+    rows += [(-5, " ".join(words(rng, 9000)))]
     return rows

@@ -86,3 +86,33 @@ def test_run_applies_the_stages(spark, steps):
     assert found.columns == last.columns and found.count() == last.count()
     assert found.select("name").exceptAll(last.select("name")).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+STAGE_NAMES = [n for n, _ in corpus_pipeline.STAGES]
+
+
+@pytest.mark.parametrize("rows", ["none", "nulls", "mixed"])
+def test_stages_of_awkward_tables(spark, rows, tmp_path):
+    """Empty and null-heavy tables, repeated rows, ids of any sign, a text of a megabyte, and columns that clash with the operators'."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i % 9973}x{i}" for i in range(100_000))
+    some = {"none": [], "nulls": [(None, None, None), (None, None, "s"), (1, None, None), (2, "", "s")]}
+    some["mixed"] = some["nulls"] + [(-5, "a short text of some words", "s"), (-5, "a short text of some words", "s"), (None, "no id here", None), (7, long, "s"), (8, long + " and more", "s"), (9, "You idiot, you moron. I will kill you!", "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in some[rows]], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("__id", "sig", "0", "__s", "mix_tier", "term", "text_", "seg"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != STAGE_NAMES[-1]:
+            assert out.columns == docs.columns, name
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path) if name != STAGE_NAMES[-1] else docs
+    left = [(r["doc_id"], len(r["text"] or "")) for r in docs.collect()]
+    assert all(i not in (8, 9) for i, _ in left)
+    stored = spark.read.parquet(path)
+    assert stored.where("kind = 'recipe'").count() == len(left)
+    assert {r["doc_id"] for r in stored.where("kind = 'recipe'").collect()} == {i for i, _ in left}
+    if rows == "none":
+        assert left == []

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from segmill.llm import counts, store, tokens
+from segmill.llm.common import LEAST_ID
 
 SIGNS = " \n\t'sdmtrevlaAé字5٣.,! 　🙂\x00\r"
 
@@ -69,7 +70,7 @@ def test_store_restores_every_text(spark):
     back = {}
     for r in store.restored(stored).collect():
         assert r["intact"]
-        back.setdefault(r["prefix"] if r["prefix"] >= 0 else None, []).append(e.decode(r["ids"]))
+        back.setdefault(r["prefix"] if r["prefix"] >= LEAST_ID else None, []).append(e.decode(r["ids"]))
     for key, text in rows:
         assert (text or "") in back[key]
     kinds = {r["kind"]: r["count"] for r in stored.groupBy("kind").count().collect()}

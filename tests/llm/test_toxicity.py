@@ -81,14 +81,40 @@ def test_grammar_equals_its_rules():
 
 
 def test_held_out_labels(spark):
-    """Stems are learnt from documents of even ids; those of odd ids are then told apart."""
-    sf = "/root/testdata/check_s"
-    docs, labels = table(spark, sf, "documents").where("doc_id < 20000"), table(spark, sf, "labels")
-    stems = toxicity.learn_stems(docs.where("doc_id % 2 = 0"), labels)
-    odd = toxicity.score(docs.where("doc_id % 2 = 1"), stems).join(labels.where("toxic is not null").select("doc_id", "toxic").withColumnRenamed("toxic", "label"), "doc_id").toPandas()
-    hit = ((odd["label"] == 1) & odd["toxic"]).sum()
-    assert hit >= 0.9 * (odd["label"] == 1).sum() and (odd["label"] == 1).sum() > 50
-    assert hit >= 0.95 * odd["toxic"].sum()
+    """Stems are learnt from four fifths of the documents; the toxic ones of the last fifth are then told from the others.
+
+    The table has some 15 to 50 different toxic texts in each language but
+    English, with many words that only few of them have: what recall there is
+    in those languages is learnt from them.
+    """
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    stems = toxicity.learn_stems(docs.where("doc_id % 5 <> 1"), labels)
+    held = docs.where("doc_id % 5 = 1")
+    scored = toxicity.score(held, stems).join(held.select("doc_id", "lang"), "doc_id")
+    found = scored.join(labels.where("toxic is not null").select("doc_id", labels["toxic"].alias("label")), "doc_id").toPandas()
+    toxic = found["label"] == 1
+    hit = toxic & found["toxic"]
+    assert hit.sum() >= 0.95 * found["toxic"].sum() and toxic.sum() > 70
+    assert hit[found["lang"] == "en"].sum() >= 0.9 * toxic[found["lang"] == "en"].sum()
+    assert hit[found["lang"] != "en"].sum() >= 0.5 * toxic[found["lang"] != "en"].sum() and hit.sum() >= 0.75 * toxic.sum()
+
+
+def test_labels_that_say_nothing(spark):
+    """Null, contradicting and orphan labels, and ids that are null, teach nothing; an empty table of documents neither."""
+    rows = [(i, f"the zyxwvut {i} day") for i in range(40)]
+    said = [(i, 0, 1) for i in range(20)] + [(i, 0, 0) for i in range(20)] + [(i, 0, None) for i in range(20, 40)] + [(None, 0, 1)] * 9 + [(900 + i, 0, 1) for i in range(20)]
+    labels = spark.createDataFrame(said, "doc_id long, quality int, toxic int")
+    assert toxicity.learn_stems(frame(spark, rows), labels) == []
+    assert toxicity.learn_stems(frame(spark, []), labels) == []
+    clear = spark.createDataFrame([(i, 0, int(i < 20)) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.learn_stems(frame(spark, [(i, f"the {'zyxwvut' if i < 20 else 'plain'} {i} day qq{i}") for i in range(40)]), clear) != []
+
+
+def test_a_very_long_text(spark):
+    body = "All is well with the tree. " * 40_000
+    found = {r["doc_id"]: r["toxic"] for r in toxicity.score(frame(spark, [(-1, body), (-2, body + "You idiot, you moron!"), (3, "fine")])).collect()}
+    assert found == {-1: False, -2: True, 3: False}
 
 
 def test_cases(spark):
