@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmill.functions.text import norm_byte, token_count, tokens
+from segmill.functions.text import norm_byte, tokens
+from segmill.operators import termscan
 
 #: Documents of a block of a posting list.
 BLOCK = 128
@@ -37,25 +36,30 @@ def postings(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text
     cut = spread(docs, keys, text)
     if not unique:
         return cut.select(*keys, F.explode(tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("freq"))
-    rows = cut.select(*keys, tokens(text).alias("term"))
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(len(keys))
-            coded = pc.fill_null(lists, []).flatten().dictionary_encode()
-            size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            n = max(1, len(coded.dictionary))
-            cell, freq = np.unique(np.repeat(np.arange(len(size)), size) * n + coded.indices.to_numpy(), return_counts=True)
-            at = pa.array(cell // n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), coded.dictionary.take(pa.array(cell % n)), pa.array(freq.astype(np.int64))], [*keys, "term", "freq"])
+            for part in termscan.bounded(batch, len(keys)):
+                at, terms, freq = termscan.frequencies(part.column(len(keys)))
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(keys))), terms, pa.array(freq)], [*keys, "term", "freq"])
 
-    kinds = T.StructType([*(f for f in rows.schema.fields if f.name in keys), T.StructField("term", T.StringType()), T.StructField("freq", T.LongType())])
-    return rows.mapInArrow(run, kinds)
+    kinds = T.StructType([*(cut.schema[k] for k in keys), T.StructField("term", T.StringType()), T.StructField("freq", T.LongType())])
+    return cut.mapInArrow(run, kinds)
 
 
-def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def lengths(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, length, norm): tokens of each document, and the byte that keeps it; a map over the rows."""
-    return docs.select(F.col(key), token_count(text).alias("length")).withColumn("norm", norm_byte("length"))
+    keys = [key] if isinstance(key, str) else key
+    own = docs.select(*keys, text)
+
+    def run(batches):
+        for batch in batches:
+            for part in termscan.bounded(batch, len(keys)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(termscan.counts(part.column(len(keys))))], [*keys, "length"])
+
+    counted = own.mapInArrow(run, T.StructType([*(own.schema[k] for k in keys), T.StructField("length", T.LongType())]))
+    return counted.withColumn("norm", norm_byte("length"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

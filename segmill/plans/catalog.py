@@ -597,6 +597,13 @@ def bm25_selective_heavy(t, spark):
 
 @query(_bm25_sql(_HEAVY, 10))
 def bm25_of_index(t, spark):
+    """From postings and lengths as relations."""
+    docs = t("documents")
+    return _rounded(bm25.top_k(bm25.scores_of_index(postings.postings(docs, unique=True), postings.lengths(docs), _HEAVY), 10))
+
+
+@query(_bm25_sql(_HEAVY, 10))
+def bm25_of_store(t, spark):
     """From the postings and lengths that a store keeps, which are read for the asked terms alone."""
     store = _text_store(t, spark)
     doc = lambda df: df.withColumn("doc_id", F.col("_seg").cast("long") * _TEXT_SIZE + F.col("_doc"))

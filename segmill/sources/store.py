@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmill.errors import SegmentError
-from segmill.functions.text import norm_byte, token_count
 from segmill.operators import coerce, scan, stats
 
 #: Documents from which on a segment is cut.
@@ -229,9 +228,9 @@ class Store:
     def index(self, text: str) -> None:
         """Writes the postings and lengths of a string column, of the writes that have none yet.
 
-        Postings lie in ranges of terms, sorted, so that a read for a few terms
-        skips all other row groups; a frequent term's documents may fill several
-        ranges.  Tombstones don't change an index.
+        Postings lie in files by term, sorted, so that a read for a few terms
+        skips all other row groups; files are rebalanced, so that a frequent
+        term's documents fill several.  Tombstones don't change an index.
         """
         from segmill.operators import postings
 
@@ -239,8 +238,8 @@ class Store:
         for name in set(c.data) - self._indexed(c, text).keys():
             folder, rows = uuid.uuid4().hex, self.rows(c, [name])
             posted = postings.postings(rows, ["_seg", "_doc"], text, unique=True)
-            posted.repartitionByRange("term", "_seg", "_doc").sortWithinPartitions("term", "_seg", "_doc").write.parquet(f"{self.path}/index/{folder}/postings")
-            rows.select("_seg", "_doc", token_count(text).alias("length")).withColumn("norm", norm_byte("length")).write.parquet(f"{self.path}/index/{folder}/lengths")
+            posted.hint("rebalance", "term").sortWithinPartitions("term", "_seg", "_doc").write.parquet(f"{self.path}/index/{folder}/postings")
+            postings.lengths(rows, ["_seg", "_doc"], text).write.parquet(f"{self.path}/index/{folder}/lengths")
             self.files.write_once(f"index/{text}.{name}.json", json.dumps(folder))
 
     def _with_field(self, text: str) -> Commit:
@@ -273,13 +272,15 @@ class Store:
 
     def lengths(self, text: str) -> DataFrame:
         """(_seg, _doc, length, norm) of a string column, from the index or the texts as in postings()."""
+        from segmill.operators import postings
+
         c = self._with_field(text)
         known = self._indexed(c, text)
         found = []
         if known:
             found.append(self.spark.read.schema("_seg int, _doc int, length long, norm int").parquet(*[f"{self.path}/index/{x}/lengths" for x in known.values()]))
         if rest := [name for name in c.data if name not in known]:
-            found.append(self.rows(c, rest).select("_seg", "_doc", token_count(text).alias("length")).withColumn("norm", norm_byte("length")))
+            found.append(postings.lengths(self.rows(c, rest), ["_seg", "_doc"], text))
         return scan.unite(*found)
 
     def checksums(self, columns: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from segmill.errors import SegmentError
-from segmill.operators import bm25, knn, postings
+from segmill.operators import bm25, knn, postings, termscan
 from segmill.sources import vectorfiles
 
 
@@ -161,3 +164,27 @@ def test_many_query_terms_are_joined(spark, monkeypatch):
     monkeypatch.setattr(bm25, "PLAN_TERMS", 3)
     many = {(r["qid"], r["doc_id"]): r["score"] for r in bm25.scores(docs, asked).collect()}
     assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few) and len(few) > 100
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aZ9 \n-ÉéΣσςİı字٣²🙂ß\u0301\u0903", max_size=12)), max_size=6))
+def test_batches_are_cut_by_the_rule(texts):
+    """Runs of letters and numbers of each text, each letter lowered by itself."""
+    import unicodedata
+
+    row, code, terms = termscan.cut(pa.array(texts, pa.string()))
+    found = list(zip(row.tolist(), terms.take(pa.array(code)).to_pylist()))
+    want = []
+    for i, text in enumerate(texts):
+        marked = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text or "")
+        want += [(i, "".join(c.lower() for c in w)) for w in marked.split(" ") if w]
+    assert found == want
+    assert termscan.counts(pa.array(texts, pa.string())).tolist() == [sum(i == k for i, _ in want) for k in range(len(texts))]
+
+
+def test_long_tokens_and_slices():
+    texts = pa.array(["drop " + "z" * 256, "z" * 255, None, "", "aé" * 127 + "x é"])
+    row, code, terms = termscan.cut(texts)
+    assert row.tolist() == [0, 1, 4] and terms[code[2]].as_py() == "é"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), texts], ["k", "t"])
+    assert [b.column(0).to_pylist() for b in termscan.bounded(batch.slice(1, 4), 1)] == [[1, 2, 3, 4]]
