@@ -25,8 +25,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passages that stand in two places; cases as in substrings.repeats()."""
-    return substrings.repeats(table(spark, sf_dir, "documents"))
+    """All passages that repeat across documents; cases as in substrings.repeats()."""
+    return substrings.repeats(table(spark, sf_dir, "documents"), within=False)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,7 +374,7 @@ def _repeats(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     return united.select("__id", "start", (F.col("end") - F.col("start")).alias("n_words"), "first_id", (F.col("start") + F.col("shift")).alias("first_start"))
 
 
-def repeats(docs: DataFrame, n: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
+def repeats(docs: DataFrame, n: int = MIN_WORDS, scratch: Scratch | None = None, within: bool = True) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, first_word, is_first): passages of n words or more that stand in two places.
 
     Each passage that has an earlier place, in the order of doc_id and position,
@@ -382,7 +382,9 @@ def repeats(docs: DataFrame, n: int = MIN_WORDS, scratch: Scratch | None = None)
     that refers to itself.  All windows of n words that stand in two places are
     in a passage, so all but one place of each are in one that isn't is_first.
     A document's passages may overlap where they repeat different places; an
-    earlier place may itself repeat a still earlier one.  Words are maximal runs of letters
+    earlier place may itself repeat a still earlier one.  Without ``within``
+    passages whose earlier place is in the same document are left out, so that
+    what is reported repeats across documents.  Words are maximal runs of letters
     and digits, in lower case.  Null and empty texts, and texts of fewer words,
     have none.  Rows that share a doc_id are one document whose passages are
     united; equal rows don't repeat one another then.  A row without doc_id
@@ -391,6 +393,7 @@ def repeats(docs: DataFrame, n: int = MIN_WORDS, scratch: Scratch | None = None)
     ignored, whatever their names.
     """
     found = (scratch := scratch or Scratch(docs.sparkSession)).write(_repeats(docs, n, scratch), "passages")
+    found = found if within else found.where(F.col("__id") != F.col("first_id"))
     later = found.withColumn("is_first", F.lit(False))
     first = found.select(F.col("first_id").alias("__id"), F.col("first_start").alias("start"), "n_words").distinct()
     first = first.select("*", F.col("__id").alias("first_id"), F.col("start").alias("first_start"), F.lit(True).alias("is_first"))

@@ -121,3 +121,15 @@ def test_equal_rows_of_one_document_are_no_repeat(spark):
     text = " ".join(words(random.Random(3), 90))
     assert substrings.repeats(frame(spark, [(1, text), (1, text)])).count() == 0
     assert substrings.repeats(frame(spark, [(1, text), (2, text)])).count() == 2
+
+
+def test_the_query_tells_what_repeats_across_documents(spark, tmp_path):
+    """Passages that a document has twice, and no other has, are left out; all documents of the others are told."""
+    from segmill.llm import queries
+
+    rng = random.Random(17)
+    own, both = words(rng, 70), words(rng, 60)
+    rows = [(1, " ".join(own + words(rng, 9) + own)), (2, " ".join(both + words(rng, 9) + both)), (3, " ".join(words(rng, 20) + both)), (4, "same " * 300)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted((r["doc_id"], r["start_word"], r["n_words"], r["first_doc_id"], r["first_word"]) for r in queries.op4_substring_dedup(spark, str(tmp_path)).collect())
+    assert found == [(2, 0, 60, 2, 0), (3, 20, 60, 2, 0)]
