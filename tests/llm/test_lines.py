@@ -153,3 +153,13 @@ def test_the_query_tries_every_holder(spark, tmp_path):
     rows = [(1, "b\na"), (2, "a"), (3, "b"), (4, "a\nb")]  # of 4, document 1 aligns one line alone
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: r["n_deleted"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 2}
+
+
+def test_texts_are_shuffled_to_a_large_table_alike(spark, monkeypatch):
+    """What is deleted is broadcast or shuffled to by its size; the result is the same."""
+    from segmill.llm import common
+
+    rows = [(i, f"one\nline {i % 7}\nown {i}") for i in range(60)] + [(None, "one"), (90, None)]
+    small = {tuple(r) for r in lines.dedup(frame(spark, rows)).collect()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in lines.dedup(frame(spark, rows)).collect()} == small and len(small) == 62
