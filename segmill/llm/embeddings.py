@@ -1,24 +1,32 @@
-"""Near-duplicate vectors by iterative quantisation.
-
-Vectors are scaled to length 1, centred and turned to their principal axes; a
-rotation is then learnt that puts them close to the corners of a cube, so that
-signs make balanced bits.  Mean, covariance and each step of the rotation are
-sums over all vectors, made by the executors.
-
-Equal vectors are one vector with several copies, and vectors of one code are a
-cell.  Different codes are searched through multi-index Hamming tables: a code
-is cut into substrings of about log2(codes) bits and stands in each table under
-the keys within a small distance of its substring.  Few codes have tables that
-let no two codes within RADIUS pass each other; for many, where that would take
-more than KEYS keys a code, further tables cut the bits in other orders, and the
-number of tables is what the expected distance at the threshold asks for.  Where
-vectors have a common direction, what centring leaves of them is short, and
-RADIUS is widened.  A pair of codes counts once, in the first table and under
-the one key that is due to it.
-
-Cells that meet, and each cell with itself, are reranked by the cosines of the
-vectors themselves: blocks of vectors are multiplied, and of each block come out
-its links by vector and a root for each connected part, not the pairs.
+"""Near-duplicate vectors: all pairs by blocks, without loss at any size.
+
+Vectors are scaled to length 1, and equal vectors are one vector with several
+copies.  A tree of medians along the principal axes, made from a bounded sample,
+sorts vectors into leaves, and leaves are cut into tiles.  Each two tiles meet
+unless the boxes around them along those axes are further apart than any two
+near-duplicates, and so do the vectors of a tile and the other's box: an
+orthogonal projection lengthens no distance.  What meets is multiplied in single
+precision, and what that leaves open, by a bound on its rounding, is decided in
+double precision, pair by pair; so whether two vectors are linked hangs on these
+two alone.  Of each two tiles come out their links by vector and a root for each
+connected part, not the pairs.  Vectors that are spread evenly in all dimensions
+leave nothing to rule out; the work is then the square of the vectors, and
+neither disk nor memory grows with it.
+
+For tables where that is too much a caller may give a radius and have only the
+vectors compared whose codes lie within this Hamming distance; that loses links,
+and the queries don't do it.  Codes are made by iterative quantisation: vectors
+are centred and turned to their principal axes; a rotation is then learnt that
+puts them close to the corners of a cube, so that signs make balanced bits.
+Mean, covariance and each step of the rotation are sums over all vectors, made
+by the executors.  Vectors of one code are a cell.  Different codes are searched
+through multi-index Hamming tables: a code is cut into substrings and stands in
+each table under the keys within a small distance of its substring, so that no
+two codes within the radius pass each other, however many there are.  Where
+vectors have a common direction, what centring leaves of them is short, and the
+radius is widened.  A pair of codes counts once, in the first table and under
+the one key that is due to it.  Cells that meet, and each cell with itself, are
+reranked by the cosines of the vectors themselves.
 """
 
 from __future__ import annotations
@@ -37,12 +45,20 @@ from segmill.llm.common import Scratch, bounded, components, release
 THRESHOLD = 0.95
 #: Bits of a code, at most; vectors of fewer dimensions have one bit for each.
 BITS = 64
-#: Hamming distance of codes within which all pairs are reranked: 64 bits of vectors at the threshold differ in 6.5 +- 2.4.
+#: Vectors of a tile, at most, and bytes of their numbers.
+TILE, TILE_BYTES = 1024, 4 << 20
+#: Bytes of a file of tiles, about; a task compares the tiles of two files or, where Spark reads small ones together, some more.
+FILE_BYTES = 32 << 20
+#: Vectors, and numbers in them, of the sample that the tree of tiles is made from, about; and its vectors in a leaf, at least.
+SAMPLE, SAMPLE_CELLS, SAMPLE_LEAF = 20_000, 1 << 22, 8
+#: Axes of the boxes around tiles, at most.
+AXES = 64
+#: A radius for callers that want only codes within it compared: 64 bits of vectors at the threshold differ in 6.5 +- 2.4.
 RADIUS = 11
 #: Share of vectors that lie closer to the mean than the length after centring that the radius is made for.
 SHORT_SHARE = 0.05
-#: Keys a code from which on tables are chosen by the recall that is expected at the threshold.
-KEYS, EXPECTED = 100, 0.95
+#: Keys a code up to which tables have the longest substrings.
+KEYS = 100
 #: Bits of a substring, at least and at most.
 SUBSTRING = (8, 20)
 #: Codes of a bucket from which on it is compared block by block, and vectors or codes of a block.
@@ -146,59 +162,23 @@ def codes(rows: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFram
     return bounded(rows.select("id", "copies", "v")).mapInArrow(run, "id long, copies long, v array<double>, code long")
 
 
-def differing(radius: int, bits: int) -> float:
-    """The share of bits in which codes at the threshold differ, where ``radius`` is as far above it as RADIUS is."""
-    p = acos(THRESHOLD) / pi
-    above = (RADIUS - BITS * p) / sqrt(BITS * p * (1 - p))
-    low, high = 0.0, 1.0
-    for _ in range(50):
-        q = (low + high) / 2
-        low, high = (q, high) if bits * q + above * sqrt(bits * q * (1 - q)) < radius else (low, q)
-    return low
-
-
-def _parts(bits: int, m: int, count: int, length: int | None = None) -> list[int]:
-    """Masks of ``count`` substrings: the bits in order cut into m (of a length, if it is given), then in other orders."""
-    rng, found = np.random.default_rng(11), []
-    order = np.arange(bits)
-    while len(found) < count:
-        cuts = [(length * i, length * (i + 1)) if length else (bits * i // m, bits * (i + 1) // m) for i in range(m)]
-        found += [sum(1 << int(b) for b in order[i:j]) for i, j in cuts]
-        order = rng.permutation(bits)
-    return found[:count]
-
-
 def tables(n: int, bits: int, radius: int = RADIUS) -> tuple[list[int], int]:
     """The mask of each substring, and the distance within which codes stand in a table.
 
     Codes meet in a table if they differ in its substring by no more than twice
-    that distance.  Up to KEYS keys a code no two within the radius miss each
-    other; beyond, EXPECTED of those at the threshold meet, by a binomial model.
+    that distance, and no two within the radius miss each other in all tables.
+    Substrings have about log2(n) bits, or as few less as KEYS asks for (or as
+    take the fewest keys, where KEYS can't be held); n changes the work, not
+    what meets.
     """
     b = max(min(bits, SUBSTRING[0]), min(SUBSTRING[1], bits, round(log2(max(2, n)))))
-    m = max(1, bits // b)
-    longest = -(-bits // m)
-    reach = max(0, ceil(((radius + 1) / m - 1) / 2))
-    keys = lambda r: sum(comb(longest, k) for k in range(min(r, longest) + 1))
-    if m * keys(reach) <= KEYS:
-        return _parts(bits, m, m), reach
-    q, best, longest = differing(radius, bits), None, b
-    share = [comb(bits, d) * q**d * (1 - q) ** (bits - d) for d in range(radius + 1)]
-    share = [x / sum(share) for x in share]
-    for r in range(4):
-        # of codes that differ in d bits, how many meet in one table
-        meets = [sum(comb(longest, k) * comb(bits - longest, d - k) for k in range(min(2 * r, longest, d) + 1)) / comb(bits, d) for d in range(radius + 1)]
-        recall = lambda count, meets=meets: sum(s * (1 - (1 - x) ** count) for s, x in zip(share, meets))
-        low, high = 0, 1
-        while recall(high) < EXPECTED and high < 1 << 14:
-            low, high = high, 2 * high
-        while high - low > 1:
-            low, high = (low, mid) if recall(mid := (low + high) // 2) >= EXPECTED else (mid, high)
-        if recall(high) >= EXPECTED and (best is None or high * keys(r) < best[0]):
-            best = high * keys(r), high, r
-    if best is None:
-        best = 0, 1 << 14, 3
-    return _parts(bits, m, best[1], b), best[2]
+    found = []
+    for m in range(max(1, bits // b), max(1, bits // SUBSTRING[0]) + 1):
+        longest, reach = -(-bits // m), max(0, ceil(((radius + 1) / m - 1) / 2))
+        found.append((m * sum(comb(longest, k) for k in range(min(reach, longest) + 1)), m, reach))
+    _, m, reach = next((x for x in found if x[0] <= KEYS), min(found))
+    cuts = [(bits * i // m, bits * (i + 1) // m) for i in range(m)]
+    return [sum(1 << b for b in range(i, j)) for i, j in cuts], reach
 
 
 def flips(mask: int, reach: int) -> np.ndarray:
@@ -313,6 +293,21 @@ def _then_none(batches):
     yield None
 
 
+def _joined(near: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, k: np.ndarray, same: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, links, roots) of each side's vectors that have a link: a and b are ids, m and k copies; same: both sides are one."""
+    top, side, last = a.copy(), b.copy(), None
+    far = np.iinfo(np.int64).max
+    while last is None or (last != top.sum(dtype=object)):
+        last = top.sum(dtype=object)
+        top = np.minimum(top, np.where(near, side[None, :], far).min(1))
+        side = top.copy() if same else np.minimum(side, np.where(near, top[:, None], far).min(0))
+    found = []
+    for key, root, count in ((a, top, near @ k),) + (() if same else ((b, side, m @ near),)):
+        has = count > 0
+        found.append((key[has], count[has], root[has]))
+    return found
+
+
 def linked(found: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
     """(id, links, root) of the vectors of cells that meet: copies within the threshold, and the least id of the part that hangs together.
 
@@ -341,17 +336,10 @@ def linked(found: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
                 same = batch.column(6)[r].as_py()
                 if same:
                     np.fill_diagonal(near, False)
-                top, side_, last = a.copy(), b.copy(), None
-                far = np.iinfo(np.int64).max
-                while last is None or (last != top.sum(dtype=object)):
-                    last = top.sum(dtype=object)
-                    top = np.minimum(top, np.where(near, side_[None, :], far).min(1))
-                    side_ = top.copy() if same else np.minimum(side_, np.where(near, top[:, None], far).min(0))
-                for key, root, count in ((a, top, near @ k),) + (() if same else ((b, side_, m @ near),)):
-                    has = count > 0
-                    ids.append(key[has])
-                    links.append(count[has])
-                    roots.append(root[has])
+                for key, count, root in _joined(near, a, m, b, k, same):
+                    ids.append(key)
+                    links.append(count)
+                    roots.append(root)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, links, roots)], ["id", "links", "root"])
         release()
@@ -359,15 +347,122 @@ def linked(found: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
     return bounded(both).mapInArrow(run, "id long, links long, root long")
 
 
-def _classes(table: DataFrame, key: str, column: str, threshold: float, radius: int, scratch: Scratch) -> DataFrame:
-    """(id, class, size, links) of the rows that have a link; class is the least id of the connected vectors."""
-    rows, dims = _vectors(table, key, column, scratch)
-    spark = table.sparkSession
-    if not dims:
-        return spark.createDataFrame([], "id long, class long, size long, links long")
-    rows = rows.where(F.size("v") == dims)
-    single = scratch.write(rows.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "different")
-    n = single.count()
+def _tree(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Orthonormal axes, and a tree (axis, cut, node below, node above) along them whose leaves name themselves."""
+    axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2][:AXES].T
+    p = sample @ axes
+    nodes, todo = [[0, 0.0, 0, 0]], [(0, np.arange(len(p)), leaves)]
+    while todo:
+        at, own, parts = todo.pop()
+        if parts < 2 or len(own) < 2 * SAMPLE_LEAF:
+            continue
+        axis = int(p[own].var(0).argmax())
+        cut = float(np.median(p[own, axis]))
+        below = p[own, axis] <= cut
+        if below.all():
+            continue  # one value has more than half of them
+        nodes[at] = [axis, cut, len(nodes), len(nodes) + 1]
+        for part in (own[below], own[~below]):
+            todo.append((len(nodes), part, parts // 2))
+            nodes.append([0, 0.0, len(nodes), len(nodes)])
+    return axes, tuple(np.array(c) for c in zip(*nodes))
+
+
+def _leaves(p: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    axis, cut, below, above = tree
+    at, last = np.zeros(len(p), np.int64), None
+    while last is None or (at != last).any():
+        last = at
+        at = np.where(p[np.arange(len(p)), axis[at]] <= cut[at], below[at], above[at])
+    return at
+
+
+def tiles(single: DataFrame, n: int, dims: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(tile, low, high, ids, copies, data): vectors that lie together, and the box around them along the axes; and the axes."""
+    size = max(1, min(TILE, TILE_BYTES // (8 * dims)))
+    few = single.where(F.pmod(F.xxhash64("name"), F.lit(ceil(n / max(1, min(SAMPLE, SAMPLE_CELLS // dims))))) == 0)
+    sample = few.select("v").toArrow().column(0)
+    if not len(sample):
+        sample = single.limit(1).select("v").toArrow().column(0)
+    axes, tree = _tree(_matrix(sample), 1 << max(0, ceil(log2(n / size))))
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaf = _leaves(_matrix(batch.column(2)) @ axes, tree)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["id", "copies", "v", "leaf"])
+
+    def pack(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = batch.column(3)[r].values.to_numpy().reshape(-1, dims)
+                p = x @ axes
+                row = [batch.column(0).slice(r, 1), *(pa.array([z.tolist()]) for z in (p.min(0), p.max(0))), batch.column(1).slice(r, 1), batch.column(2).slice(r, 1), pa.array([x.tobytes()])]
+                yield pa.RecordBatch.from_arrays(row, ["tile", "low", "high", "ids", "copies", "data"])
+        release()
+
+    placed = scratch.write(bounded(single.select("id", "copies", "v")).mapInArrow(place, "id long, copies long, v array<double>, leaf long"), "leaves")
+    parts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / size).alias("parts"))  # fewer rows than the sample
+    tile = (F.shiftleft("leaf", 40) + F.pmod(F.xxhash64("v"), F.col("parts"))).alias("tile")
+    members = placed.join(F.broadcast(parts), "leaf").select(tile, "id", "copies", "v").groupBy("tile").agg(F.collect_list(F.struct("id", "copies", "v")).alias("m"))  # about `size` vectors
+    packed = bounded(members.select("tile", F.col("m.id").alias("ids"), F.col("m.copies").alias("copies"), F.flatten("m.v").alias("flat"))).mapInArrow(pack, "tile long, low array<double>, high array<double>, ids array<long>, copies array<long>, data binary")
+    spread = max(single.sparkSession.sparkContext.defaultParallelism, ceil(n * dims * 8 / FILE_BYTES))
+    return scratch.write(packed.repartition(spread), "tiles"), axes
+
+
+def compared(found: DataFrame, axes: np.ndarray, dims: int, threshold: float) -> DataFrame:
+    """(id, links, root) of the vectors of tiles, as linked() has them, from all pairs of vectors.
+
+    Each task reads the files it compares from the written table; nothing is shuffled.
+    """
+    limit = 2 - 2 * threshold + 1e-9  # square of the distance
+    unsure = (dims + 8) * 2.0**-24  # bounds what single precision adds to a cosine
+    side = lambda x: found.select(*[F.col(c).alias(f"{x}{c}") for c in found.columns])
+    gap = F.zip_with(F.zip_with("xlow", "yhigh", lambda s, t: s - t), F.zip_with("ylow", "xhigh", lambda s, t: s - t), lambda s, t: F.greatest(s, t, F.lit(0.0)))
+    near = F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g) <= limit
+    both = side("x").hint("shuffle_replicate_nl").join(side("y"), (F.col("xtile") <= F.col("ytile")) & near)
+
+    def inside(x, low, high):
+        p = x @ axes
+        return np.flatnonzero((np.maximum(np.maximum(low - p, p - high), 0) ** 2).sum(1) <= limit)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = [c[r] for c in batch.columns]
+                xlow, xhigh, a, m, ylow, yhigh, b, k = (row[c].values.to_numpy() for c in (1, 2, 3, 4, 7, 8, 9, 10))
+                one, two, x, y = row[0].as_py(), row[6].as_py(), *(np.frombuffer(row[c].as_buffer()).reshape(-1, dims) for c in (5, 11))
+                same = one == two
+                if not same:
+                    i, j = inside(x, ylow, yhigh), inside(y, xlow, xhigh)
+                    a, m, x, b, k, y = a[i], m[i], x[i], b[j], k[j], y[j]
+                if not len(a) or not len(b):
+                    continue
+                cosine = x.astype(np.float32) @ y.astype(np.float32).T
+                maybe = cosine >= threshold - unsure
+                if same:
+                    np.fill_diagonal(maybe, False)
+                if not maybe.any():
+                    continue
+                i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+                if same:
+                    i = j = np.union1d(i, j)
+                maybe = maybe[np.ix_(i, j)]
+                sure = maybe & (cosine[np.ix_(i, j)] >= threshold + unsure)
+                s, t = np.nonzero(maybe & ~sure)
+                for begin in range(0, len(s), BLOCK):  # bounds what is in memory
+                    u, v = s[begin : begin + BLOCK], t[begin : begin + BLOCK]
+                    sure[u, v] = (x[i[u]] * y[j[v]]).sum(1) >= threshold
+                for own in _joined(sure, a[i], m[i], b[j], k[j], same):
+                    if len(own[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in own], ["id", "links", "root"])
+        release()
+
+    return bounded(both).mapInArrow(run, "id long, links long, root long")
+
+
+def _coded(single: DataFrame, n: int, dims: int, threshold: float, radius: int, scratch: Scratch) -> DataFrame:
+    """(id, links, root) of the vectors, from those whose codes lie within the radius."""
     mean, projection = learn(single, dims, n)
     bits = projection.shape[1]
     coded = scratch.write(codes(single, mean, projection), "codes")
@@ -377,7 +472,23 @@ def _classes(table: DataFrame, key: str, column: str, threshold: float, radius:
     members = coded.join(cells, "code").select("code", part, "id", "copies", "v").groupBy("code", "part").agg(F.collect_list(F.struct("id", "copies", "v")).alias("m"))  # about BLOCK vectors
     blocks = scratch.write(members.select("code", "part", F.col("m.id").alias("ids"), F.col("m.copies").alias("copies"), F.flatten("m.v").alias("flat")), "members")
     found = candidates(cells.select("code"), n, bits, reach_of(radius, bits, threshold, short_length(single, mean)), scratch)
-    links = scratch.write(linked(found, blocks, threshold), "links")
+    return linked(found, blocks, threshold)
+
+
+def _classes(table: DataFrame, key: str, column: str, threshold: float, radius: int | None, scratch: Scratch) -> DataFrame:
+    """(id, class, size, links) of the rows that have a link; class is the least id of the connected vectors."""
+    rows, dims = _vectors(table, key, column, scratch)
+    spark = table.sparkSession
+    if not dims:
+        return spark.createDataFrame([], "id long, class long, size long, links long")
+    rows = rows.where(F.size("v") == dims)
+    single = scratch.write(rows.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "different")
+    n = single.count()
+    if radius is None:
+        found = compared(*tiles(single, n, dims, scratch), dims, threshold)
+    else:
+        found = _coded(single, n, dims, threshold, radius, scratch)
+    links = scratch.write(found, "links")
     per = links.groupBy("id").agg(F.sum("links").alias("links"))
     several = rows.groupBy("id").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("id")  # ids of several vectors
     same = rows.join(several, "id").select(F.col("id").alias("a"), "name").join(single.select("name", F.col("id").alias("b")), "name").select("a", "b")
@@ -387,13 +498,14 @@ def _classes(table: DataFrame, key: str, column: str, threshold: float, radius:
     return placed.join(placed.groupBy("class").agg(F.count("*").alias("size")), "class").where("links > 0").select("id", "class", "size", "links")
 
 
-def classes(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
+def classes(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, radius: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, class_id, n_class, n_links): a row for each row that has a near-duplicate.
 
     n_links counts all other rows whose vector lies within the threshold, equal
     vectors too; class_id is the least id of the rows that hang together by
-    links, n_class their number.  Every row is searched for, without a limit of
-    partners.  Rows without id or vector, of length 0, with null or infinite
+    links, n_class their number.  Every row is compared with every other, without
+    a limit of partners; given a radius (RADIUS, say), only vectors are compared
+    whose codes lie within it, which loses some of the links.  Rows without id or vector, of length 0, with null or infinite
     elements, or of other dimensions than most have no partners.  Equal vectors
     have cosine 1.  Rows that share an id are of one class.  An empty table
     gives no rows.  Other columns are ignored, whatever their names.
@@ -402,7 +514,7 @@ def classes(table: DataFrame, key: str = "vec_id", column: str = "embedding", th
     return found.select(F.col("id").alias(key), F.col("class").alias("class_id"), F.col("size").alias("n_class"), F.col("links").alias("n_links"))
 
 
-def keep(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
+def keep(table: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, radius: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The rows without the near-duplicates: of each class, the rows of the least id stay.  Cases as in classes()."""
     scratch = scratch or Scratch(table.sparkSession)
     found = scratch.write(_classes(table, key, column, threshold, radius, scratch), "near")
