@@ -39,6 +39,12 @@ def test_rows_equal_the_oracle(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, SF).toArrow()) == rows(duck.sql(catalog.SQL[name]).to_arrow_table())
 
 
+def test_no_sketch_for_each_user(spark):
+    plan = catalog.QUERIES["delegated_approx_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Aggregate(keys=" in line and "user_id" in line.partition("functions=")[0]]
+    assert keyed and not [line for line in keyed if "approx_count_distinct" in line]
+
+
 def test_recall_asks_for_every_twentieth_vector(spark, monkeypatch):
     asked, recall = [], catalog.knn.recall
 
