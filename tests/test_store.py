@@ -33,6 +33,11 @@ def test_cut_between_batches(spark, path):
     assert [(r["segment"], r["max_doc"], r["del_count"]) for r in rows] == [("_0", 3000, 0), ("_1", 3000, 0)]
 
 
+def test_names_go_on_in_base_36(spark, path):
+    names = [r["segment"] for r in Store(spark, path).write(job(spark, 40).select("id"), segment_max_docs=1, batch_rows=1, key="id").orderBy("_seg").collect()]
+    assert names[:2] == ["_0", "_1"] and names[34:39] == ["_y", "_z", "_10", "_11", "_12"]
+
+
 def test_round_trip_is_canonical(spark, path):
     frame = job(spark, 2000)
     store = Store(spark, path)
