@@ -95,6 +95,68 @@ def test_graph_does_not_depend_on_blocks(spark):
     assert one == many and len(one) == 750 and all(node != other for node, _, other, _ in one)
 
 
+def test_vectors_meet_by_blocks(spark):
+    """No product of tables: vectors go to the tasks of their block, and to each once."""
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    asked = table.where("vec_id < 20").withColumnRenamed("vec_id", "qid")
+    for found in (knn.knn_graph(table, 3, block_rows=20), knn.approximate(table, asked, 3, cells=4, probes=2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "Join" not in plan and "Window" not in plan
+        assert found.groupBy(found.columns[0]).count().where("count <> 3").count() == 0
+
+
+def test_a_vector_that_is_no_number_hides_no_other(spark):
+    x = np.random.default_rng(6).standard_normal((100, 4))
+    table = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (500, [float("nan"), 0.0, 0.0, 0.0])], "vec_id long, embedding array<float>").coalesce(1)
+    found = knn.knn(table, table.where("vec_id < 5").withColumnRenamed("vec_id", "qid"), 3).collect()
+    assert len(found) == 15 and {r["id"] for r in found if r["rank"] == 1} == set(range(5))
+    assert knn.knn_graph(table, 3).where("node < 500 and neighbor < 500").count() == 300
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot", "cosine"])
+def test_blocks_in_memory_equal_brute_force(metric, monkeypatch):
+    from segmill.operators import nearest
+
+    monkeypatch.setattr(nearest, "TILE", 64)
+    monkeypatch.setattr(nearest, "NOTED", 500)
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((150, 6)).astype(np.float32), rng.standard_normal((333, 6)).astype(np.float32)
+    a[3], b[5], b[10:60], a[20:30] = 0, 0, b[9], a[19]
+    ids, others = rng.permutation(1000)[:150], rng.permutation(1000)[:333]
+    others[7] = others[8]
+    for k in (1, 70, 400):
+        x, y = (nearest.Block(i, v, np.zeros(len(i)), metric) for i, v in ((ids, a), (others, b)))
+        for own, other, found in zip((x, y), (y, x), nearest.nearest(x, y, metric, k, True, True)):
+            s = np.round(knn.similarities(other.x.astype(float), own.x.astype(float), metric), knn.PLACES)
+            s[own.ids[:, None] == other.ids[None, :]] = -np.inf
+            for q in range(len(own.ids)):
+                best = [i for i in np.lexsort((other.ids, -s[q]))[:k] if s[q][i] > -np.inf]
+                assert found[1][found[0] == q].tolist() == other.ids[best].tolist()
+
+
+def test_many_queries_take_no_more_memory():
+    import tracemalloc
+
+    from segmill.operators import nearest
+
+    rng = np.random.default_rng(5)
+    queries, vectors = (nearest.Block(np.arange(n), rng.standard_normal((n, 8)).astype(np.float32), np.zeros(n), "cosine") for n in (8000, 10_000))
+    tracemalloc.start()
+    nearest.nearest(queries, vectors, "cosine", 10, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6  # all products at once are 640 MB
+
+
+def test_approximate_looks_at_the_nearest_cells(spark):
+    x = np.random.default_rng(8).standard_normal((400, 5)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = table.where("vec_id % 8 = 0").withColumnRenamed("vec_id", "qid")
+    one, every = (knn.approximate(table, asked, 4, cells=6, probes=n).collect() for n in (1, 6))
+    assert sorted(map(tuple, every)) == sorted(map(tuple, knn.knn(table, asked, 4).collect()))
+    assert len(one) == 200 and 0 < len(set(map(tuple, one)) & set(map(tuple, every))) < 200
+
+
 def test_navigable_graph_is_connected(spark):
     rng = np.random.default_rng(2)
     clusters = np.repeat(rng.standard_normal((5, 8)) * 50, 20, axis=0) + rng.standard_normal((100, 8))
