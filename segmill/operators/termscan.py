@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from segmill.functions.text import MAX_TOKEN_BYTES
 
 #: Bytes of text that are cut at once; a longer text is cut alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -38,13 +38,13 @@ def bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(row, code) of every token in order, and the different tokens; null texts have none."""
+def _runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of every run of letters and numbers in order, and the runs; null texts have none."""
     texts = pc.fill_null(texts, "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     data = _bytes(texts)
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
+        return np.zeros(0, np.int64), pa.array([], pa.string())
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     # the bytes of a token, by whether each byte belongs to one
     inside = _in_token()[points]
@@ -58,7 +58,13 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     row = np.searchsorted(np.cumsum(sizes), starts, side="right")
     kept = np.ascontiguousarray(data[member])
     bounds = np.append(np.cumsum(member)[starts] - 1, len(kept)).astype(np.int32)
-    tokens = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
+    return row, pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, code) of every token in order, and the different tokens; null texts have none."""
+    row, runs = _runs(texts)
+    tokens = runs.dictionary_encode()
     low = _lower(tokens.dictionary).dictionary_encode()
     code = low.indices.to_numpy()[tokens.indices.to_numpy()]
     short = pc.binary_length(low.dictionary).to_numpy() <= MAX_TOKEN_BYTES
@@ -88,11 +94,33 @@ def _lower(words: pa.Array) -> pa.Array:
 
 def counts(texts: pa.Array) -> np.ndarray:
     """Tokens of each text."""
-    return np.bincount(cut(texts)[0], minlength=len(texts)).astype(np.int64)
+    row, runs = _runs(texts)
+    some = np.flatnonzero(pc.binary_length(runs).to_numpy() > MAX_TOKEN_BYTES // 2)  # a small letter has at most three bytes for two
+    if len(some):
+        long = pc.binary_length(_lower(runs.take(pa.array(some)))).to_numpy() > MAX_TOKEN_BYTES
+        row = np.delete(row, some[long])
+    return np.bincount(row, minlength=len(texts)).astype(np.int64)
 
 
 def frequencies(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(row, term, freq): each different token of each text once."""
+    row, code, terms, freq = _counted(texts)
+    return row, terms.take(pa.array(code)), freq
+
+
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     row, code, terms = cut(texts)
     cell, freq = np.unique(row * max(1, len(terms)) + code, return_counts=True)
-    return cell // max(1, len(terms)), terms.take(pa.array(cell % max(1, len(terms)))), freq.astype(np.int64)
+    return cell // max(1, len(terms)), cell % max(1, len(terms)), terms, freq.astype(np.int64)
+
+
+def grouped(seg: np.ndarray, doc: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(segment, first document, term, documents in order, frequencies): the postings of each term in each segment in one row."""
+    row, code, terms, freq = _counted(texts)
+    order = np.lexsort((doc[row], code, seg[row]))
+    row, code, freq = row[order], code[order], freq[order]
+    own = seg[row]
+    starts = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (code[1:] != code[:-1]))) if len(row) else np.zeros(0, np.int64)
+    at = pa.array(np.append(starts, len(row)).astype(np.int32))
+    docs = doc[row]
+    return own[starts], docs[starts], terms.take(pa.array(code[starts])), pa.ListArray.from_arrays(at, pa.array(docs)), pa.ListArray.from_arrays(at, pa.array(freq.astype(np.int32)))

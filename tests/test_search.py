@@ -65,6 +65,24 @@ def test_bm25_by_formula(spark):
         bm25.search(table, queries, 0)
 
 
+def test_counts_take_little_memory():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["alpha beta gamma " * 1000] * 500)], ["text"])
+    termscan.counts(pa.array(["a"]))  # the table of code points
+    tracemalloc.start()
+    assert sum(int(termscan.counts(part.column(0)).sum()) for part in termscan.bounded(batch, 0)) == 1_500_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+
+
+@pytest.mark.parametrize("n", [126, 127, 128, 129, 255, 256])
+def test_counts_leave_out_what_cut_leaves_out(n):
+    texts = pa.array(["x" * n + " a", "Ⱥ" * (n // 2) + " İ" + "İ" * (n // 2), None, "", "é" * n])
+    assert termscan.counts(texts).tolist() == np.bincount(termscan.cut(texts)[0], minlength=5).tolist()
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "dot", "cosine"])
 def test_knn_equals_brute_force(spark, metric, monkeypatch):
     rng = np.random.default_rng(4)
