@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,33 @@ def postings(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text
     return cut.mapInArrow(run, kinds)
 
 
+def runs(rows: DataFrame, text: str) -> DataFrame:
+    """(_seg, _doc, term, docs, freqs): the postings of each term in a stretch of a segment, whose first document is _doc.
+
+    Rows must stand in the order of documents in each file, as a store writes
+    them; so the stretches of a term in the order of _seg and _doc don't overlap.
+    Where the input has fewer splits than there are cores, ranges of documents
+    are spread over them.
+    """
+    own, cores = rows.select("_seg", "_doc", text), rows.sparkSession.sparkContext.defaultParallelism
+    if own._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        own = own.repartitionByRange(cores, "_seg", "_doc").sortWithinPartitions("_seg", "_doc")
+
+    def run(batches):
+        for batch in batches:
+            for part in termscan.bounded(batch, 2):
+                found = termscan.grouped(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2))
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in found], ["_seg", "_doc", "term", "docs", "freqs"])
+
+    return own.mapInArrow(run, "_seg int, _doc int, term string, docs array<int>, freqs array<int>")
+
+
+def unfolded(found: DataFrame) -> DataFrame:
+    """(_seg, _doc, term, freq): a row for each posting of runs(), in their order."""
+    each = found.select("_seg", "term", F.inline(F.arrays_zip("docs", "freqs")).alias("_doc", "freq"))
+    return each.select("_seg", "_doc", "term", F.col("freq").cast("long").alias("freq"))
+
+
 def lengths(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, length, norm): tokens of each document, and the byte that keeps it; a map over the rows."""
     keys = [key] if isinstance(key, str) else key

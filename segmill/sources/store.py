@@ -230,15 +230,17 @@ class Store:
 
         Postings lie in files by term, sorted, so that a read for a few terms
         skips all other row groups; files are rebalanced, so that a frequent
-        term's documents fill several.  Tombstones don't change an index.
+        term's documents fill several.  What is moved and sorted is a row for
+        each term of a stretch of a segment, not for each posting.  Tombstones
+        don't change an index.
         """
         from segmill.operators import postings
 
         c = self._with_field(text)
         for name in set(c.data) - self._indexed(c, text).keys():
             folder, rows = uuid.uuid4().hex, self.rows(c, [name])
-            posted = postings.postings(rows, ["_seg", "_doc"], text, unique=True)
-            posted.hint("rebalance", "term").sortWithinPartitions("term", "_seg", "_doc").write.parquet(f"{self.path}/index/{folder}/postings")
+            posted = postings.runs(rows, text).hint("rebalance", "term").sortWithinPartitions("term", "_seg", "_doc")
+            postings.unfolded(posted).write.parquet(f"{self.path}/index/{folder}/postings")
             postings.lengths(rows, ["_seg", "_doc"], text).write.parquet(f"{self.path}/index/{folder}/lengths")
             self.files.write_once(f"index/{text}.{name}.json", json.dumps(folder))
 

@@ -1,5 +1,6 @@
 import datetime as dt
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def test_names_go_on_in_base_36(spark, path):
     assert names[:2] == ["_0", "_1"] and names[34:39] == ["_y", "_z", "_10", "_11", "_12"]
 
 
+def test_an_index_is_made_from_a_row_for_each_term_of_a_segment(spark, path):
+    import pyarrow.parquet as pq
+    from segmill.operators import postings
+
+    texts = spark.range(0, 60, 1, 3).select("id", F.concat(F.lit("the and of the "), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).otherwise("")).alias("text"))
+    store = Store(spark, path)
+    store.write(texts, segment_max_docs=20, batch_rows=20, key="id")
+    store.index("text")
+    each = sorted(map(tuple, postings.postings(store.rows(), ["_seg", "_doc"], "text", unique=True).collect()))
+    assert sorted(map(tuple, store.postings("text").collect())) == each
+    assert postings.runs(store.rows(), "text").count() < len(each)
+    for file in Path(path.removeprefix("file://")).glob("index/*/postings/*.parquet"):
+        rows = [(r["term"], r["_seg"], r["_doc"]) for r in pq.read_table(file).to_pylist()]
+        assert rows == sorted(rows)
+
+
 def test_round_trip_is_canonical(spark, path):
     frame = job(spark, 2000)
     store = Store(spark, path)
